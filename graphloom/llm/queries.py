@@ -5,15 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
+from graphloom.llm.decontaminate import contaminated_words
+from graphloom.llm.packing import pack
+from graphloom.llm.quality import quality_scores
+from graphloom.llm.secrets import secret_spans
 from graphloom.llm.simhash import simhash_groups
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_ownership": op4_secret_ownership,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_pu_quality": op9_pu_quality,
+    "op10_positional_decontamination": op10_positional_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
