@@ -10,6 +10,8 @@ from graphloom.llm.packing import pack
 from graphloom.llm.quality import quality_scores
 from graphloom.llm.secrets import secret_spans
 from graphloom.llm.simhash import simhash_groups
+from graphloom.llm.urlmodel import url_verdicts
+from graphloom.llm.winnow import winnow_documents
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,10 +29,18 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +52,9 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_ownership": op4_secret_ownership,
+    "op5_url_language_model": op5_url_language_model,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_winnowing": op8_winnowing,
     "op9_pu_quality": op9_pu_quality,
     "op10_positional_decontamination": op10_positional_decontamination,
 }
