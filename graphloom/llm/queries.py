@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
 from graphloom.llm.decontaminate import contaminated_words
+from graphloom.llm.interpolation import document_folds, interpolated_scores
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import quality_scores
 from graphloom.llm.secrets import secret_spans
@@ -21,6 +22,10 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(table(spark, sf_dir, "documents"), document_folds())
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -50,6 +55,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_ownership": op4_secret_ownership,
     "op5_url_language_model": op5_url_language_model,
