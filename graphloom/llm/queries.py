@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
 from graphloom.llm.decontaminate import contaminated_words
+from graphloom.llm.fixity import damaged, fixity_audit
 from graphloom.llm.interpolation import document_folds, interpolated_scores
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import quality_scores
+from graphloom.llm.repeats import repeated_bytes
 from graphloom.llm.secrets import secret_spans
 from graphloom.llm.simhash import simhash_groups
 from graphloom.llm.urlmodel import url_verdicts
@@ -22,6 +24,12 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all pages, as WARC records in the order of their ids, against a replica with planted damage."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return fixity_audit(pages, damaged(pages), "page_id", ["page_id", "url", "html"])
+
+
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(table(spark, sf_dir, "documents"), document_folds())
 
@@ -38,6 +46,10 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -55,14 +67,37 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op1_merkle_fixity": op1_merkle_fixity,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_ownership": op4_secret_ownership,
     "op5_url_language_model": op5_url_language_model,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_winnowing": op8_winnowing,
     "op9_pu_quality": op9_pu_quality,
     "op10_positional_decontamination": op10_positional_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_DIGEST = "sha256(concat(octet_length(encode(page_id::varchar)), ':', page_id, coalesce(octet_length(encode({url}))::varchar, '-'), ':', coalesce({url}, ''), coalesce(octet_length(encode({html}))::varchar, '-'), ':', coalesce({html}, '')))"
+_QUARTERS = ", '/', ".join(f"2 * ('0x' || substr(digest, {1 + 16 * i}, 15))::bigint::hugeint" for i in range(4))
+
+ORACLE_SQL: dict[str, str] = {
+    # Positions are unique, so a record that stands twice is two equal ones.
+    "op1_merkle_fixity": f"""
+WITH a AS (
+  SELECT page_id, url, html, ('0x' || substr(md5(page_id::varchar), 1, 8))::bigint AS c,
+         {_DIGEST.format(url="url", html="html")} AS digest,
+         octet_length(encode(page_id::varchar)) + coalesce(octet_length(encode(url)), 0) + coalesce(octet_length(encode(html)), 0) AS bytes
+  FROM pages),
+placed AS (SELECT *, sum(bytes) OVER (ORDER BY page_id) AS upto FROM a),
+b AS (
+  SELECT page_id, CASE WHEN c % 197 = 7 THEN url || '#' ELSE url END AS url2, CASE WHEN c % 199 = 5 THEN chr(0) || substr(html, 2) ELSE html END AS html2, c % 193 = 11 AS twice
+  FROM a WHERE c % 211 <> 3),
+d AS (SELECT page_id, {_DIGEST.format(url="url2", html="html2")} AS digest, twice FROM b),
+r AS (SELECT page_id, CASE WHEN twice THEN sha256(concat('2/', {_QUARTERS})) ELSE digest END AS digest, CASE WHEN twice THEN 2 ELSE 1 END AS n FROM d)
+SELECT p.page_id AS position, CASE WHEN r.page_id IS NULL THEN 'missing' WHEN r.n > 1 THEN 'repeated' ELSE 'changed' END AS kind,
+       p.digest AS primary_digest, r.digest AS replica_digest, 1::bigint AS primary_records, coalesce(r.n, 0)::bigint AS replica_records,
+       (p.upto - p.bytes)::bigint AS range_start, p.upto::bigint AS range_end
+FROM placed p LEFT JOIN r ON r.page_id = p.page_id WHERE r.digest IS DISTINCT FROM p.digest""",
+}
