@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,21 +27,27 @@ from graphloom.llm.common import materialize, ranges, split_words, starts, text_
 
 SEQUENCE = 2048
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class WordIds:
     """Token ids of texts: white-space-separated chunks are encoded once each and remembered.
 
     The tokenizer's own split never joins characters across white space, so the ids of a
-    text are those of its chunks in a row.
+    text are those of its chunks in a row. To meet fewer distinct chunks, texts are
+    lower-cased (A-Z, as the tokenizer does) and parted between a letter and the
+    punctuation after it, where the tokenizer parts them too. Texts for which that could
+    matter, with a special token's "<|" or combining marks, are left as they are.
     """
 
+    CARE = r"<\||[\x{0300}-\x{036F}]"
+    PART = r"([a-z])([.,!|*$%&#?;:])"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and not t.single_word and not t.normalized]
         self.mark_id, self.mark = max(special, default=(-1, ""))
 
@@ -50,24 +57,31 @@ class WordIds:
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
             ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            for w, x in zip(some, np.split(ids, np.nonzero(ids == self.mark_id)[0])):
-                self.known[w] = x[1:] if len(x) and x[0] == self.mark_id else x
+            cuts = np.nonzero(ids == self.mark_id)[0].tolist()
+            data = ids.tobytes()
+            for w, x, y in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+                self.known[w] = data[4 * x : 4 * y]
         for w in new:
             if w not in self.known:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _prepared(self, text: pa.Array) -> pa.Array:
+        text = pc.fill_null(text, "")
+        plain = pc.replace_substring_regex(pc.ascii_lower(text), self.PART, r"\1 \2")
+        return pc.if_else(pc.match_substring_regex(text, self.CARE), text, plain)
 
     def ids(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each text closed by `end`, and how many each has."""
-        words, count = split_words(text)
+        words, count = split_words(self._prepared(text))
         code = words.dictionary_encode()
         distinct = code.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in distinct if w not in self.known]
         self._learn(new)
-        lists = [*(self.known[w] for w in distinct), np.array([end], "<u4")]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat, at = np.concatenate(lists), starts(size)
+        lists = [*map(self.known.__getitem__, distinct), np.array([end], "<u4").tobytes()]
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat, at = np.frombuffer(b"".join(lists), "<u4"), starts(size)
         word = np.insert(code.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(count), len(distinct))
         out = flat[ranges(at[word], size[word])]
         own = np.add.reduceat(size[word], starts(count + 1)) if len(count) else np.zeros(0, np.int64)
