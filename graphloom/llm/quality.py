@@ -140,8 +140,8 @@ class PositiveUnlabelled:
 def fit_quality(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, modulus: int = 4, held: int = 2) -> PositiveUnlabelled | None:
     """A classifier from the rows outside the held-out fold; None where there is no positive.
 
-    At most fit_rows positives and as many unlabelled documents are used, those of the
-    least hashes of their ids. The prior is the share of label 1 among all labels of the
+    About fit_rows positives and as many unlabelled documents are used, those of the least
+    hashes of their ids, and never more than twice as many. The prior is the share of label 1 among all labels of the
     folds that may be learnt from. A document that has several labels counts with each.
     """
     own = labels.where(fold_of("doc_id", modulus) != held).where("quality is not null").select("doc_id", "quality")
@@ -150,13 +150,19 @@ def fit_quality(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         return None
     prior = min(0.99, max(0.01, total.k / total.n))
     learn = features.where(fold_of("doc_id", modulus) != held)
-    order = F.xxhash64("doc_id")
-    positive = learn.join(own.where("quality = 1").select("doc_id").distinct(), "doc_id").orderBy(order, "doc_id").limit(fit_rows)
-    unlabelled = learn.orderBy(order, "doc_id").limit(fit_rows)
+
+    def sample(rows: DataFrame, n: int) -> DataFrame:
+        """Of n rows those whose ids hash low enough that about fit_rows remain, no more than twice as many."""
+        low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(min(1 << 30, (fit_rows << 30) // max(n, 1)))
+        return rows.where(F.coalesce(low, F.lit(True))).limit(2 * fit_rows)
+
+    positive = sample(learn.join(own.where("quality = 1").select("doc_id").distinct(), "doc_id"), total.k)
+    unlabelled = sample(learn, learn.count())
     p, u = (np.array([list(r.features) for r in x.select("features").collect()], np.float64).reshape(-1, FEATURES) for x in (positive, unlabelled))
     if not len(p) or not len(u):
         return None
-    return PositiveUnlabelled(prior).fit(p, u)
+    # Sorted, so that the fit does not depend on the order in which rows came.
+    return PositiveUnlabelled(prior).fit(p[np.lexsort(p.T)], u[np.lexsort(u.T)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
