@@ -128,7 +128,8 @@ class Texts:
             place, n = x[first], last - first
             with np.errstate(over="ignore"):
                 run = _mix(c.hashes(first, n - 1 + self.length) + (place - first).astype(np.uint64) * _ODD + (n.astype(np.uint64) << np.uint64(48)))
-            for o, v in zip(out, (first + c.at, n, place + c.at, h[place], run)):
+            # A least hash is a small one: mixed once more, so that buckets by leading bits are even.
+            for o, v in zip(out, (first + c.at, n, place + c.at, _mix(h[place] ^ _ODD), run)):
                 o.append(v)
         return tuple(np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
 
