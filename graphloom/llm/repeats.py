@@ -13,8 +13,8 @@ ones. Equal windows name equal anchors in the same place, so:
 
 Counts go through packed, sorted keys per block of documents (a block asks, the bucket of
 the hash answers in the block's order), so a passage in a third of all documents is one
-entry per block and no group of texts meets in one task. The named construction, suffix
-grouping by Lyndon prefixes, is in suffix_groups.py; the README says why it does not run here.
+entry per block and no group of texts meets in one task. Step 2 can be done by suffix
+sorting instead, by groups of Lyndon prefixes; the README says why that is not the default.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, ranges, starts
+from graphloom.llm.suffix_groups import repeated_starts
 
 LENGTH, GRAM = 200, 112
 #: Characters of text in a block, about; windows that a worker hashes at a time; keys in a bucket, about.
@@ -194,6 +195,26 @@ def _judge_windows(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
+def _judge_strings(length: int):
+    """The same by suffix sorting: keys hold runs' sizes and strings, and each of their windows gets a bit."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        strings, runs = [], []
+        for x in table["keys"]:
+            data = x.as_py()
+            k = int.from_bytes(data[:4], "little")
+            size = np.frombuffer(data, "<i4", k, 4)
+            cuts = np.cumsum([4 + 4 * k, *size]).tolist()
+            strings += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            runs.append(k)
+        starts_ = repeated_starts(strings, length)
+        cuts = np.cumsum([0, *runs])
+        bits = [np.concatenate([starts_[i][: len(strings[i]) - length + 1] for i in range(a, b)]) for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+
+    return judge
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     """A block's documents in an order that depends on their content alone."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -222,7 +243,7 @@ def _finished(ids: pa.Array, texts: Texts, gone: np.ndarray) -> dict[str, pa.Arr
     return {"doc_id": ids, "n_bytes": pa.array(texts.size), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
 
 
-def _second(length: int, gram: int, buckets: int):
+def _second(length: int, gram: int, buckets: int, suffixes: bool):
     """Documents and the codes of their runs -> finished documents, windows to ask about, and what is left to finish."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -237,6 +258,10 @@ def _second(length: int, gram: int, buckets: int):
             code[order] = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.sort_by("bucket")["codes"]])
         sure = (code == 1) | (code == 2) | (code == 4)
         ask = (code == 3) | (code == 4)
+        if suffixes:  # runs by their anchor, so that all that may be equal meet
+            chosen = np.flatnonzero(ask)
+            chosen_order, cuts = _by_bucket(anchor[chosen], buckets)
+            ask = chosen[chosen_order]
         window = ranges(first[ask], n[ask])
         stands = np.repeat(code[ask] == 4, n[ask])
         open_ = window[~stands]
@@ -252,10 +277,17 @@ def _second(length: int, gram: int, buckets: int):
             kept = _finished(ids.take(pa.array(done)), part, gone[ranges(begins[done], sizes[done])])
             k = len(done)
             rows.append(pa.table({"block": pa.array(np.full(k, block), pa.int64()), "kind": pa.array(np.zeros(k), pa.int32()), **kept}))
-        keys = texts.windows(window)
-        by, cuts = _by_bucket(keys, buckets)
+        if suffixes:
+            by, size = np.arange(len(window)), n[ask] - 1 + length
+            packed = [(b - a).to_bytes(4, "little") + size[a:b].astype("<i4").tobytes() + texts.data[ranges(first[ask[a:b]], size[a:b])].tobytes() for _, a, b in cuts]
+            counts = [int(n[ask[a:b]].sum()) for _, a, b in cuts]
+        else:
+            keys = texts.windows(window)
+            by, cuts = _by_bucket(keys, buckets)
+            packed = [keys[by[a:b]].astype("<u8").tobytes() for _, a, b in cuts]
+            counts = [b - a for _, a, b in cuts]
         if cuts:
-            rows.append(pa.table({"block": pa.array([block] * len(cuts), pa.int64()), "kind": pa.array([1] * len(cuts), pa.int32()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "keys": pa.array([keys[by[a:b]].astype("<u8").tobytes() for _, a, b in cuts], pa.binary())}))
+            rows.append(pa.table({"block": pa.array([block] * len(cuts), pa.int64()), "kind": pa.array([1] * len(cuts), pa.int32()), "n_bytes": pa.array(counts, pa.int64()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "keys": pa.array(packed, pa.binary())}))
         some = np.flatnonzero(left)
         if len(some):
             byte = ranges(begins[some], sizes[some])
@@ -308,7 +340,7 @@ def _third(length: int, gram: int):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_chars: int = BLOCK_CHARS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_chars: int = BLOCK_CHARS, bucket_keys: int = BUCKET_KEYS, suffixes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     Each byte is removed that a string of `length` bytes covers which also starts
@@ -316,13 +348,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     the input. Spans are maximal runs of removed bytes. A null text is empty; texts
     shorter than `length` stay whole; a repeated row is a text elsewhere. Texts of any
     length are worked on in bounded pieces. Other columns are not read. Hashes have 64 bits.
+
+    suffixes: windows at which runs differ are not counted by hashes but found by suffix
+    sorting of the runs' strings (see suffix_groups.py), by groups of anchors. All runs of
+    one anchor are then sorted in one task, so this is for input without a passage that
+    very many texts share between different surroundings, and with time to spare.
     """
     if not 0 < gram < length:
         raise ValueError("an anchor is shorter than a window")
     kind = dict(docs.dtypes)["doc_id"]
     chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    buckets = max(1, -(-2 * chars // ((length - gram + 2) * bucket_keys)))
+    buckets = max(1, -(-2 * chars // ((length - gram + 2) * bucket_keys))) * (8 if suffixes else 1)
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -336,12 +373,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     asked = placed.groupBy("block").applyInArrow(first, "block long, bucket int, keys binary, runs binary")
     codes = asked.groupBy("bucket").applyInArrow(_judge_runs, "block long, bucket int, codes binary").repartition(blocks, "block")
     second = placed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        _second(length, gram, buckets), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary"
+        _second(length, gram, buckets, suffixes), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary"
     )
     second = materialize(second, "repeats")
-    windows = second.where("kind = 1").select("block", "bucket", "keys")
-    judged = windows.groupBy("bucket").applyInArrow(_judge_windows, "block long, bucket int, codes binary")
-    sized = windows.select("block", "bucket", (F.length("keys") / 8).cast("long").alias("n"))
+    windows = second.where("kind = 1")
+    judged = windows.select("block", "bucket", "keys").groupBy("bucket").applyInArrow(_judge_strings(length) if suffixes else _judge_windows, "block long, bucket int, codes binary")
+    sized = windows.select("block", "bucket", F.col("n_bytes").alias("n"))
     told = judged.join(sized, ["block", "bucket"])
     left = second.where("kind = 2").select("block", "ids", "sizes", "text", "gone", "asked")
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -110,8 +110,8 @@ def common_prefixes(text: Sequence[int], order: list[int]) -> list[int]:
     return out
 
 
-def repeated_cover(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, which of its bytes a string of `length` bytes covers that starts anywhere else too.
+def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each byte of each text, whether the string of `length` bytes that starts there starts anywhere else too.
 
     All texts are sorted together in this process, so this is for sets of bounded size.
     """
@@ -122,11 +122,19 @@ def repeated_cover(texts: list[bytes], length: int) -> list[np.ndarray]:
         joined += t
         joined.append(256 + k)  # a symbol of its own ends each text, so no match crosses it
     order = suffix_array(joined)
-    shared = common_prefixes(joined, order)
-    edge = np.zeros(len(joined) + 1, np.int64)
-    for r, s in enumerate(order):
-        if shared[r] >= length or (r + 1 < len(order) and shared[r + 1] >= length):
-            edge[s] += 1
-            edge[s + length] -= 1
-    hit = np.cumsum(edge[:-1]) > 0
+    shared = np.array([*common_prefixes(joined, order), 0], np.int64)
+    hit = np.zeros(len(joined), bool)
+    hit[order] = (shared[:-1] >= length) | (shared[1:] >= length)
     return [hit[b : b + len(t)] for b, t in zip(begin, texts)]
+
+
+def repeated_cover(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each text, which of its bytes such a string covers."""
+    out = []
+    for own in repeated_starts(texts, length):
+        edge = np.zeros(len(own) + length + 1, np.int64)
+        at = np.flatnonzero(own)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        out.append(np.cumsum(edge)[: len(own)] > 0)
+    return out

@@ -331,9 +331,11 @@ def brute_repeats(texts, length):
 
 def test_repeats_on_documents(documents, texts, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 1 << 15)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeated_bytes(documents, block_chars=60_000, bucket_keys=2_000).collect()}
     ids = sorted(texts)
-    assert [got[i] for i in ids] == brute_repeats([texts[i] for i in ids], 200)
+    want = brute_repeats([texts[i] for i in ids], 200)
+    for suffixes in (False, True):
+        got = {r.doc_id: tuple(r)[1:] for r in repeats.repeated_bytes(documents, block_chars=60_000, bucket_keys=2_000, suffixes=suffixes).collect()}
+        assert [got[i] for i in ids] == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -344,8 +346,10 @@ def test_repeats_on_random_texts(spark, seed, monkeypatch):
     base = ["".join(r.choice(letters) for _ in range(r.choice([0, 5, 30, 60, 200]))) for _ in range(30)]
     base += [r.choice(base) + r.choice(base)[3:] + r.choice(base) for _ in range(20)] + [None, "", "a" * 300, "ab" * 100] * 2
     d = spark.createDataFrame(list(enumerate(base)), "doc_id long, text string")
-    got = sorted(tuple(x) for x in repeats.repeated_bytes(d, 20, 8, 900, 20).collect())
-    assert [g[1:] for g in got] == brute_repeats(base, 20)
+    want = brute_repeats(base, 20)
+    for suffixes in (False, True):
+        got = sorted(tuple(x) for x in repeats.repeated_bytes(d, 20, 8, 900, 20, suffixes).collect())
+        assert [g[1:] for g in got] == want
 
 
 def test_repeats_odd(odd):
