@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import prob
-from graphloom.operators import algebra, analytics, constraints, modal, network, paths, reconcile, retrieve
+from graphloom.operators import algebra, analytics, certify, constraints, modal, network, paths, planning, reconcile, retrieve
 from graphloom.plans import rpq
-from graphloom.plans.parse_native import parse_regex
+from graphloom.plans.parse_native import parse_query, parse_regex
 from graphloom.session import GraphSession
 from graphloom.snapshot import STEP, TAGS, Graph, chain_graph, star_graph
 from graphloom.sources import ingest
@@ -284,6 +284,29 @@ def context_histogram(spark, sf):
     return analytics.relation_counts(star_graph(spark, sf), 9 * STEP + 4).withColumn("ctx_id", F.lit(9 * STEP + 4))
 
 
+# Evidence ---------------------------------------------------------------------------------------
+_CERTIFIED = "select ?o ?s where ?o : Order, ?o -hasPart/suppliedBy-> ?s, ?s -inNation-> NATION_7"
+
+
+@query(f"""WITH {_EDGE}, best AS (SELECT rel, src, dst, floor(max(confidence)::double * 1000000 + 0.5)::bigint AS p FROM pedge GROUP BY ALL)
+SELECT a.src AS o, a.dst AS via, b.dst AS s, 3 AS n, ((a.p * b.p // 1000000) * c.p // 1000000)::bigint AS proof FROM best a JOIN best b ON b.src = a.dst AND b.rel = 'suppliedBy'
+JOIN best c ON c.src = b.dst AND c.rel = 'inNation' JOIN nation ON c.dst = 20000000000 + n_nationkey AND n_name = 'NATION_7' WHERE a.rel = 'hasPart'""")
+def certified_rows(spark, sf):
+    out = certify.certify(star_graph(spark, sf), parse_query(_CERTIFIED))
+    return out.select("o", F.col("_mid1").alias("via"), "s", F.size("witness").alias("n"), "proof")
+
+
+@query("SELECT 1::bigint AS o, 1::bigint AS s WHERE false")
+def certified_violations(spark, sf):
+    g, q = star_graph(spark, sf), parse_query(_CERTIFIED)
+    return certify.verify(g, q, certify.certify(g, q)).select("o", "s")
+
+
+@query(f"WITH {_EDGE} SELECT rel, src, dst FROM edge WHERE rel IN ('placedBy', 'suppliedBy')")
+def learning_graph(spark, sf):
+    return planning.learning_graph(star_graph(spark, sf), {"placedBy": ("Order", "Agent"), "suppliedBy": ("Part", "Supplier"), "hasPart": ("Part", "Order")})
+
+
 # Constraints --------------------------------------------------------------------------------------------
 @query(f"WITH {_FACT} SELECT \"order\", line, count(*) AS n FROM fact GROUP BY ALL HAVING count(*) > 1")
 def key_violations(spark, sf):

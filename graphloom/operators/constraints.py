@@ -205,6 +205,23 @@ def quality_report(graph: Graph, profile: str = "fast", plane: str = "both", pro
     return reduce(DataFrame.unionByName, out)
 
 
+def value_violations(graph: Graph, key: str, equals: str | None = None, above: float | None = None, below: float | None = None, between: tuple[float, float] | None = None, one_of: list[str] | None = None) -> DataFrame:
+    """id, value of the entities whose attribute is not as wanted; what is no number fails every comparison."""
+    v, n = F.col("value"), F.expr("try_cast(value as double)")
+    ok = F.lit(True)
+    if equals is not None:
+        ok = ok & (v == equals)
+    if above is not None:
+        ok = ok & (n > above)
+    if below is not None:
+        ok = ok & (n < below)
+    if between is not None:
+        ok = ok & n.between(*between)
+    if one_of is not None:
+        ok = ok & v.isin(one_of)
+    return graph.attrs.where((F.col("key") == key) & ~F.coalesce(ok, F.lit(False))).select("id", "value")
+
+
 def quality_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings that a change brings or resolves."""
     return after.exceptAll(before).withColumn("change", F.lit("new")).unionByName(before.exceptAll(after).withColumn("change", F.lit("resolved")))

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
+    path = spark.sparkContext.getCheckpointDir()
+    if path is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            os.makedirs("/tmp/checkpoints", exist_ok=True)
+            path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -168,6 +168,28 @@ def import_proposals(graph: Graph, entities: DataFrame, relations: DataFrame, ba
     return graph.add(entities=new, attrs=attrs, edges=e)
 
 
+def import_embeddings(graph: Graph, rows: DataFrame, dimensions: int) -> DataFrame:
+    """id, vector at length one of (type, name, vector) or (chunk_id, vector); rows that nothing answers to are dropped."""
+    from graphloom.operators.retrieve import normalized
+
+    if not rows.where(F.size("vector") != dimensions).isEmpty():
+        raise ValueError(f"vectors have {dimensions} numbers")
+    if "chunk_id" in rows.columns:
+        keys = graph.attrs.where("key = 'chunk_id'").select(F.col("value").alias("chunk_id"), "id")
+        j = rows.join(keys, "chunk_id")
+    else:
+        j = rows.join(graph.entities.groupBy("type", "name").agg(F.min("id").alias("id")), ["type", "name"])
+    return j.select("id", normalized(F.col("vector")).alias("vector"))
+
+
+def facts_to_tuples(facts: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """kind, fields (map) of extracted facts (kind, fields array), by the names that each kind's fields have."""
+    out = F.lit(None).cast("map<string,string>")
+    for kind, names in fields.items():
+        out = F.when(F.col("kind") == kind, F.map_from_arrays(F.array(*map(F.lit, names)), F.slice("fields", 1, len(names)))).otherwise(out)
+    return facts.select("kind", out.alias("fields"))
+
+
 def draft_schema(entities: DataFrame, relations: DataFrame, constraints: bool = False) -> DataFrame:
     """rel, source_type, target_type (Entity where several), and, if asked for, which keys and dependencies the rows bear out."""
     kind = entities.select("external_id", "type")

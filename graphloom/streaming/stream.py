@@ -58,3 +58,10 @@ def masked_tuples(spark: SparkSession, facts: DataFrame, share: float = 0.15, se
     names = [c for c in facts.columns if c != "fact_id"]
     rows = facts.select("fact_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in names))).alias("f")).select("fact_id", "f.field", "f.value")
     return rows.withColumn("masked", F.pmod(F.xxhash64("fact_id", "field", F.lit(seed)), F.lit(1000)) < int(share * 1000))
+
+
+def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """fact_id, status of a queue after decisions (fact_id, action: approve or reject); only what waits for review moves."""
+    d = decisions.groupBy("fact_id").agg(F.max("action").alias("action"))
+    new = F.when(F.col("status") != "review", F.col("status")).when(F.col("action") == "approve", "integrated").when(F.col("action") == "reject", "rejected").otherwise(F.col("status"))
+    return queue.join(d, "fact_id", "left").select("fact_id", new.alias("status"))

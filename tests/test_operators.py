@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import prob, text
-from graphloom.operators import algebra, analytics, constraints, migrate, modal, network, paths, reconcile, retrieve
+from graphloom.operators import algebra, analytics, certify, constraints, migrate, modal, network, paths, planning, reconcile, retrieve
+from graphloom.plans.ast import QueryError
+from graphloom.plans.parse_native import parse_query
 from graphloom.snapshot import Constraint, Graph, Meta
 from graphloom.sources import ingest, modules
 from graphloom.streaming import store, stream
@@ -267,6 +269,21 @@ def test_ingestion(spark):
     assert ingest.synthetic_graph(spark, 10, 3, 2).edges.count() == 30
 
 
+def test_embeddings_values_and_reviews(spark, ring):
+    v = spark.createDataFrame([("N", "n0", [3.0, 4.0]), ("N", "nobody", [1.0, 0.0])], "type string, name string, vector array<double>")
+    assert got(ingest.import_embeddings(ring, v, 2), "id", "vector") == [(0, [0.6, 0.8])]
+    with pytest.raises(ValueError):
+        ingest.import_embeddings(ring, v, 3)
+    a = ring.add(attrs=[(0, "speed", "120"), (1, "speed", "90"), (2, "speed", "fast")])
+    bad = lambda **k: got(constraints.value_violations(a, "speed", **k), "id")
+    assert bad(between=(100, 150)) == [(1,), (2,)] and bad(one_of=["90", "fast"]) == [(0,)] and bad(above=95) == [(1,), (2,)]
+    q = spark.createDataFrame([(1, "review"), (2, "review"), (3, "integrated")], "fact_id long, status string")
+    d = spark.createDataFrame([(1, "approve"), (2, "reject"), (3, "reject")], "fact_id long, action string")
+    assert got(stream.review(q, d)) == [(1, "integrated"), (2, "rejected"), (3, "integrated")]
+    f = spark.createDataFrame([("speed", ["spindle speed", "90", "rpm"])], "kind string, fields array<string>")
+    assert ingest.facts_to_tuples(f, {"speed": ("what", "value", "unit")}).first().fields == {"what": "spindle speed", "value": "90", "unit": "rpm"}
+
+
 def test_drift_and_cost(spark):
     a, b = (spark.createDataFrame(x, "k string, n long") for x in ([("x", 3), ("y", 1)], [("x", 3), ("y", 1)]))
     assert analytics.drift(a, b, "k").first().divergence == pytest.approx(0)
@@ -279,6 +296,32 @@ def test_drift_and_cost(spark):
     assert got(merged, "name", "confidence", "evidence") == [("A b", 0.7, ["e1", "e2"])] and merged.first().attrs == {"k": "2"} and clashes.count() == 1
 
 
+def test_certificates(spark, ring):
+    q = parse_query("select ?x ?z where ?x -r/r-> ?z min_conf 0.6")
+    rows = certify.certify(ring, q)
+    assert got(rows, "x", "z", "witness", "proof") == [(0, 2, [4, 1], 720000), (1, 0, [1, 2], 800000), (2, 1, [2, 4], 900000)]
+    assert certify.verify(ring, q, rows).count() == 0
+    forged = rows.withColumn("witness", F.when(F.col("x") == 0, F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).otherwise(F.col("witness")))
+    assert got(certify.verify(ring, q, forged), "x") == [(0,)]
+    assert certify.verify(ring, q, rows.withColumn("proof", F.lit(999999).cast("bigint"))).count() == 3
+    for bad in ('select ?x where contains(?x, "name", "n")', "select ?x where ?x -r*-> ?y", "select ?x where ?x : N or ?x -r-> ?y"):
+        with pytest.raises(QueryError):
+            certify.certify(ring, parse_query(bad))
+    assert certify.equivalent(["a", "b", "~b", "refl"], ["a"]) and not certify.equivalent(["a"], ["~a"])
+
+
+def test_planning(spark, ring):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert got(planning.propose_relations("r", names("b", "a"), names("y", "x")), "source", "target") == [("a", "x"), ("b", "y")]
+    assert planning.propose_relations("r", names("a", "b"), names("x", "y"), "each").count() == 4
+    assert planning.propose_facts("R", spark.createDataFrame([(1, "z")], "a long, b string")).first().fields == {"a": "1", "b": "z"}
+    bad = lambda g: g.add(edges=[(50, "r", 99, 0, 1.0)])
+    good = lambda g: g.add(edges=[(51, "r", 4, 0, 1.0)])
+    assert got(planning.preview(ring, bad(ring)), "change", "code") == [("new", "dangling_source")]
+    assert planning.plan(ring, [{"name": "bad", "apply": bad}, {"name": "good", "apply": good}], 1) == [("good", 0.0)]
+    assert got(planning.learning_graph(ring, {"s": ("N", "N")})) == [("s", 2, 3)]
+
+
 def test_entry_imports_without_llm():
     import __spark_entry__ as entry
 
