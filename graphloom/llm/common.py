@@ -20,11 +20,10 @@ SLICE_BYTES = 4 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -56,6 +55,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
