@@ -82,7 +82,19 @@ QUERIES = {
 _DIGEST = "sha256(concat(octet_length(encode(page_id::varchar)), ':', page_id, coalesce(octet_length(encode({url}))::varchar, '-'), ':', coalesce({url}, ''), coalesce(octet_length(encode({html}))::varchar, '-'), ':', coalesce({html}, '')))"
 _QUARTERS = ", '/', ".join(f"2 * ('0x' || substr(digest, {1 + 16 * i}, 15))::bigint::hugeint" for i in range(4))
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_positional_decontamination": f"""
+WITH b AS (SELECT item_id, {_WORDS} FROM benchmark), d AS (SELECT doc_id, {_WORDS} FROM documents),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: list_slice(w, i, i + least(len(w), 10) - 1))) AS win FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k),
+m AS (SELECT doc_id, k, p, item_id FROM (SELECT doc_id, k, p, list_slice(w, p, p + k - 1) AS win FROM dw) JOIN bw USING (k, win)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
     # Positions are unique, so a record that stands twice is two equal ones.
     "op1_merkle_fixity": f"""
 WITH a AS (
