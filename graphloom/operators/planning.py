@@ -63,5 +63,5 @@ def learning_graph(graph: Graph, relations: dict[str, tuple[str, str]]) -> DataF
 
 def typed_entities(graph: Graph, schema: str, kind: str) -> DataFrame:
     """id of entities of a type that belong to a schema."""
-    own = graph.attr_scan("axi_schema", schema)
+    own = graph.attr_scan("in_schema", schema)
     return graph.type_scan(kind).join(own, "id", "left_semi")

@@ -23,26 +23,26 @@ schema S:
   object Kind
   subtype Worker < Person
   relation Knows(from: Person, to: Person, kind: Kind)
-  relation ReportsTo(employee: Person, manager: Person)
+  relation AnswersTo(junior: Person, senior: Person)
   relation Reach(from: Person, to: Person)
 
 theory T on S:
-  constraint key ReportsTo(employee, manager)
-  constraint functional ReportsTo.employee -> ReportsTo.manager
+  constraint key AnswersTo(junior, senior)
+  constraint functional AnswersTo.junior -> AnswersTo.senior
   constraint symmetric Knows where
     Knows.kind in {Friend}
   constraint key Reach(from, to)
   constraint transitive Reach
 
 instance I of S:
-  Person = {Ann, Bob, Cy}
+  Person = {Ann, Ben, Cy}
   Kind = {Friend, Mentor}
   Knows = {
-    (from=Ann, to=Bob, kind=Friend),
-    (from=Bob, to=Ann, kind=Mentor)
+    (from=Ann, to=Ben, kind=Friend),
+    (from=Ben, to=Ann, kind=Mentor)
   }
-  ReportsTo = {(employee=Ann, manager=Bob), (employee=Ann, manager=Bob)}
-  Reach = {(from=Ann, to=Bob), (from=Bob, to=Cy)}
+  AnswersTo = {(junior=Ann, senior=Ben), (junior=Ann, senior=Ben)}
+  Reach = {(from=Ann, to=Ben), (from=Ben, to=Cy)}
 """
 
 
@@ -121,14 +121,14 @@ def test_modules(spark):
     m = modules.parse_module(MODULE)
     assert modules.typecheck(m) == []
     g = modules.import_module(spark, m)
-    assert g.wide["ReportsTo"].count() == 1  # equal tuples are one fact
-    assert got(g.type_scan("Person").join(g.entities, "id"), "name") == [("Ann",), ("Bob",), ("Cy",)]
+    assert g.wide["AnswersTo"].count() == 1  # equal tuples are one fact
+    assert got(g.type_scan("Person").join(g.entities, "id"), "name") == [("Ann",), ("Ben",), ("Cy",)]
     named = {r: modules.names_of(g, r) for r in g.wide}
     assert constraints.check_constraints(named, g.meta.constraints).count() == 0
     again = modules.parse_module(modules.export_module(g, m))
     assert again.relations == m.relations and sorted(map(str, again.tuples["I", "Knows"])) == sorted(map(str, m.tuples["I", "Knows"]))
     assert [modules.parse_constraint(modules.format_constraint(c)).kind for c in g.meta.constraints] == [c.kind for c in g.meta.constraints]
-    bad = MODULE.replace("(from=Ann, to=Bob), (from=Bob, to=Cy)", "(from=Ann)")
+    bad = MODULE.replace("(from=Ann, to=Ben), (from=Ben, to=Cy)", "(from=Ann)")
     with pytest.raises(modules.ModuleError):
         modules.import_module(spark, modules.parse_module(bad))
     assert modules.parse_constraint("wishful R thinking").kind == "unknown"
@@ -147,7 +147,7 @@ def test_store(spark, tmp_path):
     s.rollback(first)
     assert s.read().entities.count() == n
     with pytest.raises(ValueError):
-        s.promote(MODULE.replace("(employee=Ann, manager=Bob), (employee=Ann, manager=Bob)", "(employee=Ann, manager=Bob), (employee=Ann, manager=Cy)"))
+        s.promote(MODULE.replace("(junior=Ann, senior=Ben), (junior=Ann, senior=Ben)", "(junior=Ann, senior=Ben), (junior=Ann, senior=Cy)"))
     src = spark.createDataFrame([(901, "Person", "Eve")], "id bigint, type string, name string")
     src.write.parquet(f"file://{tmp_path}/in")
     stream.watch_folder(s, f"file://{tmp_path}/in", "entities", f"file://{tmp_path}/cp").awaitTermination()
@@ -238,9 +238,9 @@ def test_ingestion(spark):
     md = spark.createDataFrame([(1, "intro\n# A\nx\ny\n## B\nz\n")], "doc_id long, text string")
     assert {(r.title, r.text) for r in ingest.markdown_chunks(md).collect()} == {(None, "intro"), ("A", "x\ny"), ("B", "z")}
     chat = spark.createDataFrame([(1, "Ann (10:00): hello\nnoise\nBob (10:01): is it?")], "doc_id long, text string")
-    assert got(ingest.chat_turns(chat), "turn", "speaker", "text") == [(0, "Ann", "hello"), (1, "Bob", "is it?")]
+    assert got(ingest.chat_turns(chat), "turn", "speaker", "text") == [(0, "Ann", "hello"), (1, "Ben", "is it?")]
     meet = spark.createDataFrame([(1, "ANN: hello\nthere\nBOB: yes")], "doc_id long, text string")
-    assert got(ingest.meeting_turns(meet), "speaker", "text") == [("ANN", "hello there"), ("BOB", "yes")]
+    assert got(ingest.meeting_turns(meet), "speaker", "text") == [("ANN", "hello there"), ("BEN", "yes")]
     turns = spark.createDataFrame([(1, 0, "u", "why?"), (1, 1, "a", "steel")], "conv_id long, turn long, role string, text string")
     assert got(ingest.conversation_chunks(turns), "chunk_id") == [("1_1",)]
     page = spark.createDataFrame([(1, '<h1>T</h1><p>a &amp; b</p><pre>code</pre><h2>U</h2><table></table><a href="/x">l</a><script>no</script>')], "page_id long, html string")

@@ -15,7 +15,7 @@ from graphloom.snapshot import Constraint, Graph, Meta, RewriteRule
 @pytest.fixture(scope="module")
 def tiny(spark):
     """Three nodes in a row."""
-    return GraphSession(Graph.of(spark, entities=[(0, "Node", "a"), (1, "Node", "b"), (2, "Node", "c")], edges=[(0, "rel_0", 0, 1, 0.9), (1, "rel_1", 1, 2, 0.9), (2, "rel_0", 0, 1, 0.5)]))
+    return GraphSession(Graph.of(spark, entities=[(0, "Spot", "a"), (1, "Spot", "b"), (2, "Spot", "c")], edges=[(0, "step", 0, 1, 0.9), (1, "leap", 1, 2, 0.9), (2, "step", 0, 1, 0.5)]))
 
 
 @pytest.fixture(scope="module")
@@ -37,26 +37,26 @@ def rows(session, text, **options):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("select ?y where 0 -rel_0/rel_1-> ?y", [(2,)]),
-        ("select ?y where 0 -[rel_0/rel_1]-> ?y", [(2,)]),
-        ("select ?y where 0 -rel_0*-> ?y", [(0,), (1,)]),
-        ("select ?y where 0 -(rel_0|rel_1)+-> ?y", [(1,), (2,)]),
-        ("select ?y where 0 -(rel_0|rel_1)*-> ?y max_hops 1", [(0,), (1,)]),
-        ("select ?y where 0 -rel_0/rel_1-> ?y max_hops 1", [(2,)]),
-        ("select ?x where ?x -rel_0-> b", [(0,)]),
-        ('select ?x where ?x -rel_0/rel_1-> name("c")', [(0,)]),
-        ("select ?x where ?x has rel_0", [(0,)]),
-        ('select ?x where ?x { is Node, rel_0, name="a" }', [(0,)]),
-        ('select ?x where ?x is Node, ?x.name = \'b\'', [(1,)]),
-        ("select ?y where 0 -rel_0-> ?y min_conf 0.6", [(1,)]),
-        ("select ?y where 0 -rel_0-> ?y min_conf 0.95", []),
-        ("select ?x where ?x : Node or ?x -rel_0-> _", [(0,), (0,), (1,), (2,)]),
+        ("select ?y where 0 -step/leap-> ?y", [(2,)]),
+        ("select ?y where 0 -[step/leap]-> ?y", [(2,)]),
+        ("select ?y where 0 -step*-> ?y", [(0,), (1,)]),
+        ("select ?y where 0 -(step|leap)+-> ?y", [(1,), (2,)]),
+        ("select ?y where 0 -(step|leap)*-> ?y max_hops 1", [(0,), (1,)]),
+        ("select ?y where 0 -step/leap-> ?y max_hops 1", [(2,)]),
+        ("select ?x where ?x -step-> b", [(0,)]),
+        ('select ?x where ?x -step/leap-> name("c")', [(0,)]),
+        ("select ?x where ?x has step", [(0,)]),
+        ('select ?x where ?x { is Spot, step, name="a" }', [(0,)]),
+        ('select ?x where ?x is Spot, ?x.name = \'b\'', [(1,)]),
+        ("select ?y where 0 -step-> ?y min_conf 0.6", [(1,)]),
+        ("select ?y where 0 -step-> ?y min_conf 0.95", []),
+        ("select ?x where ?x : Spot or ?x -step-> _", [(0,), (0,), (1,), (2,)]),
         ('select ?x where contains(?x, "name", "")', []),
         ('select ?x where fuzzy(?x, "name", "B", 0)', [(1,)]),
         ("select ?x where ?x -nothing-> ?y", []),
-        ("where 0 -rel_0-> 1", [(True,)]),
-        ("where 1 -rel_0-> 0", []),
-        ("select ?x where ?x -rel_0-> ?x", []),
+        ("where 0 -step-> 1", [(True,)]),
+        ("where 1 -step-> 0", []),
+        ("select ?x where ?x -step-> ?x", []),
         ('select ?x where attrs(?x, name="c")', [(2,)]),
     ],
 )
@@ -78,18 +78,18 @@ def test_default_limit_and_truncation(spark):
 
 
 def test_sqlish_and_ask(tiny):
-    assert rows(tiny, "SELECT y FROM Node AS y WHERE FOLLOW(0, 'rel_0/rel_1', y)", lang="sqlish") == [(2,)]
-    assert rows(tiny, "SELECT x FROM Node AS x WHERE HAS(x, 'rel_0') AND ATTR(x, 'name') = 'a' LIMIT 5;", lang="sqlish") == [(0,)]
-    assert rows(tiny, "SELECT x FROM Node AS x WHERE FOLLOW(x, 'rel_0', 'b')", lang="sqlish") == [(0,)]
-    assert rows(tiny, "ask find Node named b", lang="ask") == [(1,)]
-    assert rows(tiny, "ask from a follow rel_0/rel_1", lang="ask") == [(2,)]
-    for bad in ("SELECT x FROM Node", "SELECT x FROM Node AS x ORDER BY x", "SELECT x FROM Node AS x WHERE HAS(x, 'a') OR HAS(x, 'b')"):
+    assert rows(tiny, "SELECT y FROM Spot AS y WHERE FOLLOW(0, 'step/leap', y)", lang="sqlish") == [(2,)]
+    assert rows(tiny, "SELECT x FROM Spot AS x WHERE HAS(x, 'step') AND ATTR(x, 'name') = 'a' LIMIT 5;", lang="sqlish") == [(0,)]
+    assert rows(tiny, "SELECT x FROM Spot AS x WHERE FOLLOW(x, 'step', 'b')", lang="sqlish") == [(0,)]
+    assert rows(tiny, "ask find Spot named b", lang="ask") == [(1,)]
+    assert rows(tiny, "ask from a follow step/leap", lang="ask") == [(2,)]
+    for bad in ("SELECT x FROM Spot", "SELECT x FROM Spot AS x ORDER BY x", "SELECT x FROM Spot AS x WHERE HAS(x, 'a') OR HAS(x, 'b')"):
         with pytest.raises(QueryError):
             surfaces.parse_sqlish(bad)
 
 
 def test_errors(tiny, flows):
-    for bad in ("select ?z where ?x : Node", "select ?x where", "select ?x where ?x : Node min_conf 2"):
+    for bad in ("select ?z where ?x : Spot", "select ?x where", "select ?x where ?x : Spot min_conf 2"):
         with pytest.raises(QueryError):
             tiny.query(bad)
     for bad in ("select ?x where ?x : Nobody", "select ?f where ?f = Flow(foo=?x)", "select ?f where ?f = Flow(from=?x) in W9"):
