@@ -27,7 +27,7 @@ from graphloom.llm.common import materialize, ranges, split_words, starts, text_
 
 SEQUENCE = 2048
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 class WordIds:
@@ -75,8 +75,8 @@ class WordIds:
         words, count = split_words(self._prepared(text))
         code = words.dictionary_encode()
         distinct = code.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # those of this text, which hold the frequent ones, stay
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
         new = [w for w in distinct if w not in self.known]
         self._learn(new)
         lists = [*map(self.known.__getitem__, distinct), np.array([end], "<u4").tobytes()]
