@@ -7,14 +7,15 @@ ones. Equal windows name equal anchors in the same place, so:
 1. Windows that share an anchor are a run. Runs, as (anchor hash, run hash), are counted
    over the corpus; a run that occurs twice is repeated as a whole.
 2. Only where an anchor occurs twice in runs that differ (at the ends of a shared
-   passage, or around an edit) are windows hashed one by one and counted, one
-   occurrence of each distinct run standing for all of it.
+   passage, or around an edit) the windows themselves are compared: the strings of the
+   different runs of an anchor, one occurrence of each, are sorted by their suffixes, by
+   groups of Lyndon prefixes (suffix_groups.py).
 3. Each document unites what its repeated windows cover.
 
 Counts go through packed, sorted keys per block of documents (a block asks, the bucket of
 the hash answers in the block's order), so a passage in a third of all documents is one
-entry per block and no group of texts meets in one task. Step 2 can be done by suffix
-sorting instead, by groups of Lyndon prefixes; the README says why that is not the default.
+entry per block. Where it has thousands of different surroundings, its windows are counted
+one by one instead, by 64-bit hashes that any number of tasks share.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from graphloom.llm.suffix_groups import repeated_starts
 LENGTH, GRAM = 200, 112
 #: Characters of text in a block, about; windows that a worker hashes at a time; keys in a bucket, about.
 BLOCK_CHARS, CHUNK, BUCKET_KEYS = 4_000_000, 1 << 19, 1_000_000
+#: Different runs of one anchor that are sorted in one task at most; a run is of some hundred bytes.
+MOST_RUNS = 4096
 _BASE, _ODD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -167,8 +170,11 @@ def _from_five(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _judge_runs(table: pa.Table) -> pa.Table:
-    """Per run: 0 its anchor is unique, 1 repeated and all runs of its anchor alike, 2 repeated, 3 unique among others, 4 repeated and to stand for its like."""
+def _judge_runs(table: pa.Table, most: int) -> pa.Table:
+    """Per run: 0 its anchor is unique, 1 repeated and all runs of its anchor alike, 2 repeated, 3 unique among others, 4 repeated and to stand for its like.
+
+    5 and 6 are 3 and 4 of an anchor with more than `most` different runs.
+    """
     anchor = [_from_five(x.as_py()) for x in table["keys"]]
     run = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table["runs"]])
     size = [len(x) for x in anchor]
@@ -181,6 +187,7 @@ def _judge_runs(table: pa.Table) -> pa.Table:
     code = np.where(n[at] == 1, 0, np.where(kinds == 1, 1, np.where(repeated, 2, 3))).astype(np.uint8)
     stand = first[code[first] == 2]
     code[stand] = 4
+    code[(code > 2) & (kinds > most)] += 2
     cuts = np.cumsum([0, *size])
     return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([code[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
@@ -195,24 +202,42 @@ def _judge_windows(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
-def _judge_strings(length: int):
-    """The same by suffix sorting: keys hold runs' sizes and strings, and each of their windows gets a bit."""
+def _judge_strings(table: pa.Table, length: int) -> pa.Table:
+    """The same for windows of whole runs: keys hold the runs' sizes and strings.
 
-    def judge(table: pa.Table) -> pa.Table:
-        strings, runs = [], []
-        for x in table["keys"]:
-            data = x.as_py()
-            k = int.from_bytes(data[:4], "little")
-            size = np.frombuffer(data, "<i4", k, 4)
-            cuts = np.cumsum([4 + 4 * k, *size]).tolist()
-            strings += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-            runs.append(k)
-        starts_ = repeated_starts(strings, length)
-        cuts = np.cumsum([0, *runs])
-        bits = [np.concatenate([starts_[i][: len(strings[i]) - length + 1] for i in range(a, b)]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
-
-    return judge
+    Hashes only tell which windows are surely unique. Of the rest, stretches of windows
+    that are equal byte for byte are repeated; all different stretches are then sorted by
+    their suffixes, which shows what any two of them share.
+    """
+    strings, runs = [], []
+    for x in table["keys"]:
+        data = x.as_py()
+        k = int.from_bytes(data[:4], "little")
+        cuts = np.cumsum([4 + 4 * k, *np.frombuffer(data, "<i4", k, 4)]).tolist()
+        strings += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        runs.append(k)
+    texts = Texts(strings, length)
+    many = texts.size - length + 1
+    place = ranges(texts.begin, many)
+    _, at, n = np.unique(texts.windows(place), return_inverse=True, return_counts=True)
+    maybe = n[at] > 1
+    new = np.r_[True, (np.diff(place) != 1) | (np.diff(maybe.astype(np.int8)) != 0)]
+    new[starts(many)] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(place)]
+    keep = maybe[first]
+    first, last = first[keep], last[keep]
+    own: dict[bytes, list[int]] = {}
+    for i, (a, b) in enumerate(zip(place[first].tolist(), (place[last - 1] + length).tolist())):
+        own.setdefault(texts.data[a:b].tobytes(), []).append(i)
+    twice = np.zeros(len(place), bool)
+    found = repeated_starts(list(own), length) if any(len(v) == 1 for v in own.values()) else [None] * len(own)
+    for f, v in zip(found, own.values()):
+        for i in v:
+            twice[first[i] : last[i]] = True if len(v) > 1 else f[: last[i] - first[i]]
+    cuts = np.cumsum([0, *runs])
+    ends = np.r_[0, np.cumsum(many)]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(twice[ends[a] : ends[b]]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -243,7 +268,7 @@ def _finished(ids: pa.Array, texts: Texts, gone: np.ndarray) -> dict[str, pa.Arr
     return {"doc_id": ids, "n_bytes": pa.array(texts.size), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
 
 
-def _second(length: int, gram: int, buckets: int, suffixes: bool):
+def _second(length: int, gram: int, buckets: int):
     """Documents and the codes of their runs -> finished documents, windows to ask about, and what is left to finish."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -252,18 +277,25 @@ def _second(length: int, gram: int, buckets: int, suffixes: bool):
         ids = docs["doc_id"].combine_chunks()
         texts = Texts(_bytes(docs["text"]), length, gram)
         first, n, _, anchor, _ = texts.runs()
-        order, _ = _by_bucket(anchor, 1)
+        order = np.argsort(anchor, kind="stable")
         code = np.zeros(len(first), np.uint8)
         if answers.num_rows:
             code[order] = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.sort_by("bucket")["codes"]])
-        sure = (code == 1) | (code == 2) | (code == 4)
-        ask = (code == 3) | (code == 4)
-        if suffixes:  # runs by their anchor, so that all that may be equal meet
-            chosen = np.flatnonzero(ask)
-            chosen_order, cuts = _by_bucket(anchor[chosen], buckets)
-            ask = chosen[chosen_order]
-        window = ranges(first[ask], n[ask])
-        stands = np.repeat(code[ask] == 4, n[ask])
+        sure = np.isin(code, (1, 2, 4, 6))
+        # Runs of anchors with few different ones go as strings, by anchor; windows of the others as hashes.
+        cold = np.flatnonzero((code == 3) | (code == 4))
+        order, cuts = _by_bucket(anchor[cold], buckets)
+        cold, hot = cold[order], np.flatnonzero(code >= 5)
+        size = n[cold] - 1 + length
+        packed = [(b - a).to_bytes(4, "little") + size[a:b].astype("<i4").tobytes() + texts.data[ranges(first[cold[a:b]], size[a:b])].tobytes() for _, a, b in cuts]
+        asked = [(buckets + b, int(n[cold[x:y]].sum()), k) for (b, x, y), k in zip(cuts, packed)]
+        single = ranges(first[hot], n[hot])
+        keys = texts.windows(single)
+        by, cuts = _by_bucket(keys, buckets)
+        asked = [(b, y - x, keys[by[x:y]].astype("<u8").tobytes()) for b, x, y in cuts] + asked
+        # In the order in which buckets answer.
+        window = np.concatenate([single[by], ranges(first[cold], n[cold])])
+        stands = np.concatenate([np.repeat(code[hot] == 6, n[hot])[by], np.repeat(code[cold] == 4, n[cold])])
         open_ = window[~stands]
         doc = np.searchsorted(texts.begin + texts.size, open_, side="right")
         left = np.zeros(len(ids), bool)
@@ -277,17 +309,9 @@ def _second(length: int, gram: int, buckets: int, suffixes: bool):
             kept = _finished(ids.take(pa.array(done)), part, gone[ranges(begins[done], sizes[done])])
             k = len(done)
             rows.append(pa.table({"block": pa.array(np.full(k, block), pa.int64()), "kind": pa.array(np.zeros(k), pa.int32()), **kept}))
-        if suffixes:
-            by, size = np.arange(len(window)), n[ask] - 1 + length
-            packed = [(b - a).to_bytes(4, "little") + size[a:b].astype("<i4").tobytes() + texts.data[ranges(first[ask[a:b]], size[a:b])].tobytes() for _, a, b in cuts]
-            counts = [int(n[ask[a:b]].sum()) for _, a, b in cuts]
-        else:
-            keys = texts.windows(window)
-            by, cuts = _by_bucket(keys, buckets)
-            packed = [keys[by[a:b]].astype("<u8").tobytes() for _, a, b in cuts]
-            counts = [b - a for _, a, b in cuts]
-        if cuts:
-            rows.append(pa.table({"block": pa.array([block] * len(cuts), pa.int64()), "kind": pa.array([1] * len(cuts), pa.int32()), "n_bytes": pa.array(counts, pa.int64()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "keys": pa.array(packed, pa.binary())}))
+        if asked:
+            k = len(asked)
+            rows.append(pa.table({"block": pa.array([block] * k, pa.int64()), "kind": pa.array([1] * k, pa.int32()), "n_bytes": pa.array([x[1] for x in asked], pa.int64()), "bucket": pa.array([x[0] for x in asked], pa.int32()), "keys": pa.array([x[2] for x in asked], pa.binary())}))
         some = np.flatnonzero(left)
         if len(some):
             byte = ranges(begins[some], sizes[some])
@@ -299,7 +323,7 @@ def _second(length: int, gram: int, buckets: int, suffixes: bool):
             mine = left[at] & ~stands
             moved[mine] = (window - begins[at] + new[at])[mine]
             zip_ = zstandard.ZstdCompressor(level=3).compress
-            rest = {"text": zip_(texts.data[byte].tobytes()), "gone": zip_(np.packbits(gone[byte]).tobytes()), "asked": zip_(moved[by].astype("<i4").tobytes())}
+            rest = {"text": zip_(texts.data[byte].tobytes()), "gone": zip_(np.packbits(gone[byte]).tobytes()), "asked": zip_(moved.astype("<i4").tobytes())}
             ids_left = ids.take(pa.array(some))
             rows.append(pa.table({"block": pa.array([block], pa.int64()), "kind": pa.array([2], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids_left)], pa.int32()), ids_left), "sizes": pa.array([sizes[some].astype("<i8").tobytes()], pa.binary()), **{c: pa.array([v], pa.binary()) for c, v in rest.items()}}))
         schema = _second_schema(ids.type)
@@ -340,7 +364,7 @@ def _third(length: int, gram: int):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_chars: int = BLOCK_CHARS, bucket_keys: int = BUCKET_KEYS, suffixes: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_chars: int = BLOCK_CHARS, bucket_keys: int = BUCKET_KEYS, most_runs: int = MOST_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     Each byte is removed that a string of `length` bytes covers which also starts
@@ -349,17 +373,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     shorter than `length` stay whole; a repeated row is a text elsewhere. Texts of any
     length are worked on in bounded pieces. Other columns are not read. Hashes have 64 bits.
 
-    suffixes: windows at which runs differ are not counted by hashes but found by suffix
-    sorting of the runs' strings (see suffix_groups.py), by groups of anchors. All runs of
-    one anchor are then sorted in one task, so this is for input without a passage that
-    very many texts share between different surroundings, and with time to spare.
+    most_runs: windows at which runs differ are found by suffix sorting of the runs'
+    strings (see suffix_groups.py), the runs of one anchor together. Beyond so many
+    different runs of one anchor, as around a passage that very many texts share, each of
+    their windows is counted for itself, which any number of tasks can share.
     """
     if not 0 < gram < length:
         raise ValueError("an anchor is shorter than a window")
     kind = dict(docs.dtypes)["doc_id"]
     chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    buckets = max(1, -(-2 * chars // ((length - gram + 2) * bucket_keys))) * (8 if suffixes else 1)
+    buckets = max(1, -(-2 * chars // ((length - gram + 2) * bucket_keys)))
+    strings = 8 * buckets
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -370,14 +395,20 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
             "keys": pa.array([_five(anchor[order[a:b]]) for _, a, b in cuts], pa.binary()), "runs": pa.array([run[order[a:b]].astype("<u8").tobytes() for _, a, b in cuts], pa.binary()),
         })
 
+    def judge_runs(table: pa.Table) -> pa.Table:
+        return _judge_runs(table, most_runs)
+
+    def judge(table: pa.Table) -> pa.Table:
+        return _judge_strings(table, length) if table["bucket"][0].as_py() >= strings else _judge_windows(table)
+
     asked = placed.groupBy("block").applyInArrow(first, "block long, bucket int, keys binary, runs binary")
-    codes = asked.groupBy("bucket").applyInArrow(_judge_runs, "block long, bucket int, codes binary").repartition(blocks, "block")
+    codes = asked.groupBy("bucket").applyInArrow(judge_runs, "block long, bucket int, codes binary").repartition(blocks, "block")
     second = placed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        _second(length, gram, buckets, suffixes), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary"
+        _second(length, gram, strings), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary"
     )
     second = materialize(second, "repeats")
     windows = second.where("kind = 1")
-    judged = windows.select("block", "bucket", "keys").groupBy("bucket").applyInArrow(_judge_strings(length) if suffixes else _judge_windows, "block long, bucket int, codes binary")
+    judged = windows.select("block", "bucket", "keys").groupBy("bucket").applyInArrow(judge, "block long, bucket int, codes binary")
     sized = windows.select("block", "bucket", F.col("n_bytes").alias("n"))
     told = judged.join(sized, ["block", "bucket"])
     left = second.where("kind = 2").select("block", "ids", "sizes", "text", "gone", "asked")
