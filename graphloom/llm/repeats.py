@@ -36,7 +36,7 @@ LENGTH, GRAM = 200, 112
 #: Characters of text in a block, about; windows that a worker hashes at a time; keys in a bucket, about.
 BLOCK_CHARS, CHUNK, BUCKET_KEYS = 4_000_000, 1 << 19, 1_000_000
 #: Different runs of one anchor that are sorted in one task at most; a run is of some hundred bytes.
-MOST_RUNS = 4096
+MOST_RUNS = 1024
 _BASE, _ODD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -384,7 +384,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     buckets = max(1, -(-2 * chars // ((length - gram + 2) * bucket_keys)))
-    strings = 8 * buckets
+    strings = 32 * buckets  # strings are sorted in Python, so a task has few of them
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

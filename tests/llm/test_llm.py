@@ -333,7 +333,7 @@ def test_repeats_on_documents(documents, texts, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 1 << 15)
     ids = sorted(texts)
     want = brute_repeats([texts[i] for i in ids], 200)
-    for most in (0, 2, 4096):
+    for most in (0, 2, 1024):
         got = {r.doc_id: tuple(r)[1:] for r in repeats.repeated_bytes(documents, block_chars=60_000, bucket_keys=2_000, most_runs=most).collect()}
         assert [got[i] for i in ids] == want
 
@@ -347,7 +347,7 @@ def test_repeats_on_random_texts(spark, seed, monkeypatch):
     base += [r.choice(base) + r.choice(base)[3:] + r.choice(base) for _ in range(20)] + [None, "", "a" * 300, "ab" * 100] * 2
     d = spark.createDataFrame(list(enumerate(base)), "doc_id long, text string")
     want = brute_repeats(base, 20)
-    for most in (0, 3, 4096):
+    for most in (0, 3, 1024):
         got = sorted(tuple(x) for x in repeats.repeated_bytes(d, 20, 8, 900, 20, most).collect())
         assert [g[1:] for g in got] == want
 
