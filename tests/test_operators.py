@@ -237,9 +237,9 @@ def test_ingestion(spark):
     assert got(ingest.text_chunks(d), "chunk_id", "text") == [("1_0", "one"), ("1_1", "two"), ("1_2", "three")]
     md = spark.createDataFrame([(1, "intro\n# A\nx\ny\n## B\nz\n")], "doc_id long, text string")
     assert {(r.title, r.text) for r in ingest.markdown_chunks(md).collect()} == {(None, "intro"), ("A", "x\ny"), ("B", "z")}
-    chat = spark.createDataFrame([(1, "Ann (10:00): hello\nnoise\nBob (10:01): is it?")], "doc_id long, text string")
+    chat = spark.createDataFrame([(1, "Ann (10:00): hello\nnoise\nBen (10:01): is it?")], "doc_id long, text string")
     assert got(ingest.chat_turns(chat), "turn", "speaker", "text") == [(0, "Ann", "hello"), (1, "Ben", "is it?")]
-    meet = spark.createDataFrame([(1, "ANN: hello\nthere\nBOB: yes")], "doc_id long, text string")
+    meet = spark.createDataFrame([(1, "ANN: hello\nthere\nBEN: yes")], "doc_id long, text string")
     assert got(ingest.meeting_turns(meet), "speaker", "text") == [("ANN", "hello there"), ("BEN", "yes")]
     turns = spark.createDataFrame([(1, 0, "u", "why?"), (1, 1, "a", "steel")], "conv_id long, turn long, role string, text string")
     assert got(ingest.conversation_chunks(turns), "chunk_id") == [("1_1",)]
