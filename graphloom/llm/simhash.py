@@ -199,7 +199,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     Rows that repeat that doc_id are cut down to one. All columns stay as they are; rows
     without a doc_id stay.
     """
-    groups = simhash_groups(docs, shingle, radius)
+    return first_of(docs, simhash_groups(docs, shingle, radius))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """keep_first for any groups (doc_id, component_id)."""
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep_id")).distinct()
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"))
     one = packed.join(kept, F.col("__id") == F.col("__keep_id")).groupBy("__id").agg(F.min_by("__row", F.coalesce(F.col("__row")["text"], F.lit(""))).alias("__row"))
