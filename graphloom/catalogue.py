@@ -397,8 +397,8 @@ def vector_normalize(spark, sf):
 def token_hash_search(spark, sf):
     g = chain_graph(spark, sf)
     texts = g.attrs.where("key = 'text'").select("id", retrieve.token_hash(F.col("value")).alias("vector"))
-    q = texts.orderBy("id").limit(1).collect()[0].vector
-    return retrieve.top_k(texts, list(q), 12)
+    q = texts.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return retrieve.top_k_blocks(texts, q, 12)
 
 
 @query("SELECT DISTINCT 10000000000 + n_regionkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 4")
