@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import prob
 from graphloom.operators import algebra, analytics, certify, constraints, modal, network, paths, planning, reconcile, retrieve
 from graphloom.plans import rpq
+from graphloom.plans.fixpoint import cut
 from graphloom.plans.parse_native import parse_query, parse_regex
 from graphloom.session import GraphSession
 from graphloom.snapshot import STEP, TAGS, Graph, chain_graph, star_graph
@@ -396,7 +397,7 @@ def vector_normalize(spark, sf):
 @query()
 def token_hash_search(spark, sf):
     g = chain_graph(spark, sf)
-    texts = g.attrs.where("key = 'text'").select("id", retrieve.token_hash(F.col("value")).alias("vector"))
+    texts = cut(g.attrs.where("key = 'text'").select("id", retrieve.token_hash(F.col("value")).alias("vector")))
     q = texts.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return retrieve.top_k_blocks(texts, q, 12)
 
