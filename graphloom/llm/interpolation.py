@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold_of, materialize, split_words, starts, text_slices
 
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text in a block, about: a Python worker holds some forty times as much at most.
+BLOCK_BYTES = 5 << 20
 #: n-gram hashes in a bucket, about.
 BUCKET_KEYS = 1_000_000
 KEPT, DELETED, HELD_OUT = 0, 1, 2
@@ -37,6 +37,7 @@ CONTEXTS = 40
 _END, _BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = 16  # histogram cells per doubling of a ratio
+_ZERO, _NONE = 1 << 18, -(1 << 18)  # where a ratio of one stands among the cells; an estimate of zero
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +91,22 @@ def _slice(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(h, _END), tokens, count + 1
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes as differences, each of as many bytes as the greatest needs; the first byte says how many."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(step[1:].max()).bit_length() + 7) // 8) if len(step) > 1 else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    step = np.zeros((len(rest) + 1, 8), np.uint8)
+    step[0] = np.frombuffer(data, np.uint8, 8, 1)
+    step[1:, :width] = rest
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
+
+
 def token_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of docs (doc_id, text, fold): block, fold, ids, vocabulary, tokens, counts, n_tokens."""
 
@@ -143,7 +160,7 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
                     cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
                     for b in np.nonzero(np.diff(cuts))[0].tolist():
                         own = slice(cuts[b], cuts[b + 1])
-                        rows.append((b, order, keys[own].astype("<u8").tobytes(), zlib.compress(n[own].astype("<u4").tobytes(), 1)))
+                        rows.append((b, order, _packed_keys(keys[own]), zlib.compress(n[own].astype("<u4").tobytes(), 1)))
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, batch.column("block")[r].as_py())), pa.array(np.full(k, batch.column("fold")[r].as_py()), pa.int32()), pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())],
@@ -156,7 +173,7 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
 def _answer(table: pa.Table) -> pa.Table:
     """For one bucket and order: each block's keys' counts in the kept and in the deleted part; and how many keys training has."""
     fold = table["fold"].to_pylist()
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
+    keys = [_unpacked_keys(x.as_py()) for x in table["keys"]]
     n = [np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) if f != HELD_OUT else None for x, f in zip(table["n"], fold)]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = {KEPT: np.zeros(len(every), np.int64), DELETED: np.zeros(len(every), np.int64)}
@@ -222,15 +239,16 @@ def _unpack(batch: pa.RecordBatch, r: int) -> tuple[Block, np.ndarray, list[np.n
 def learn_weights(cells: list[tuple[int, int, int, int]], rounds: int = 200) -> np.ndarray:
     """Weights (bigram, word, uniform) of each context bucket, by expectation-maximisation.
 
-    cells: bucket, round(16 log2(p2 / p0)) or -1 where p2 is 0, the same of p1, and how many
-    held-out tokens are so. Likelihood ratios are all that the expectations need. Buckets
-    that no held-out token is in take the weights of the nearest one that has some.
+    cells: bucket, round(16 log2(p2 / p0)) or _NONE where p2 is 0, the same of p1 (either may
+    be below 0: a word that is rarer than uniform), and how many held-out tokens are so.
+    Likelihood ratios are all that the expectations need. Buckets that no held-out token is
+    in take the weights of the nearest one that has some.
     """
     weights = np.full((CONTEXTS, 3), np.nan)
     data = np.array(cells, np.float64).reshape(-1, 4)
     for b in np.unique(data[:, 0]).astype(int).tolist():
         own = data[data[:, 0] == b]
-        ratio = np.stack([np.where(own[:, 1] < 0, 0.0, 2.0 ** (own[:, 1] / _STEP)), np.where(own[:, 2] < 0, 0.0, 2.0 ** (own[:, 2] / _STEP)), np.ones(len(own))], axis=1)
+        ratio = np.stack([*(np.where(own[:, i] == _NONE, 0.0, 2.0 ** (own[:, i] / _STEP)) for i in (1, 2)), np.ones(len(own))], axis=1)
         m = own[:, 3] / own[:, 3].sum()
         w = np.array([0.0, 0.5, 0.5]) if b == 0 else np.full(3, 1 / 3)
         for _ in range(rounds):
@@ -278,7 +296,7 @@ def interpolated_scores(docs: DataFrame, fold, block_bytes: int = BLOCK_BYTES, b
                 block, at, kept, _ = _unpack(batch, r)
                 c = Counts(block, kept[0], kept[1], kept_texts, at)
                 p2, p1, p0 = components_of(c, kept_tokens, types)
-                cell = [np.where(p > 0, np.maximum(np.round(_STEP * np.log2(np.maximum(p, 1e-300) / p0)), 0), -1).astype(np.int64) + 1 for p in (p2, p1)]
+                cell = [np.where(p > 0, np.round(_STEP * np.log2(np.maximum(p, 1e-300) / p0)), _NONE).astype(np.int64) + _ZERO for p in (p2, p1)]
                 code, n = np.unique((bucket_of(c.context) << 40) | (cell[0] << 20) | cell[1], return_counts=True)
                 for k, v in zip(code.tolist(), n.tolist()):
                     total[k] = total.get(k, 0) + v
@@ -286,7 +304,7 @@ def interpolated_scores(docs: DataFrame, fold, block_bytes: int = BLOCK_BYTES, b
 
     # The histogram has CONTEXTS times some hundred squared cells at most, whatever the corpus.
     deleted = _joined(blocks.where(F.col("fold") == DELETED), counts.where(F.col("fold") == DELETED))
-    cells = [(r.cell >> 40, ((r.cell >> 20) & 0xFFFFF) - 1, (r.cell & 0xFFFFF) - 1, r.n) for r in deleted.mapInArrow(expect, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()]
+    cells = [(r.cell >> 40, ((r.cell >> 20) & 0xFFFFF) - _ZERO, (r.cell & 0xFFFFF) - _ZERO, r.n) for r in deleted.mapInArrow(expect, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()]
     weights = learn_weights(cells)
     train_tokens, train_texts = sum(tokens), sum(texts)
 

@@ -121,10 +121,32 @@ def test_interpolation(spark, documents, texts, monkeypatch):
 
 def test_expectation_maximisation_finds_the_mixture():
     # Ratios as of tokens that come from the bigram estimate in three of four cases.
-    w = interpolation.learn_weights([(3, 160, 16, 75), (3, -1, 16, 15), (3, -1, -1, 10)])
+    no = interpolation._NONE
+    w = interpolation.learn_weights([(3, 160, 16, 75), (3, no, 16, 15), (3, no, no, 10)])
     assert w[3][0] == pytest.approx(0.75, abs=0.02) and w[3].sum() == pytest.approx(1) and (w[9] == w[3]).all() and w[0][0] == 0
 
 
+def test_weights_are_those_of_expectation_maximisation_on_single_tokens():
+    """Against EM on each token's own ratios, of which many are below 1: words that are rarer than uniform."""
+    g = np.random.default_rng(11)
+    r2 = np.where(g.random(20_000) < 0.4, 0.0, 2.0 ** g.normal(2, 3, 20_000))
+    r1 = 2.0 ** g.normal(-1, 2, 20_000)
+    joint = np.stack([r2, r1, np.ones(20_000)], axis=1)
+    w = np.full(3, 1 / 3)
+    for _ in range(3000):
+        w = (joint * w / (joint @ w)[:, None]).mean(axis=0)
+    cells = collections.Counter((2, int(round(16 * math.log2(a))) if a else interpolation._NONE, int(round(16 * math.log2(b)))) for a, b in zip(r2, r1))
+    got = interpolation.learn_weights([(*k, v) for k, v in cells.items()])[2]
+    assert np.abs(got - w).max() < 2e-3
+    assert np.log(joint @ got).mean() == pytest.approx(np.log(joint @ w).mean(), abs=1e-3)
+
+
+def test_keys_packed_as_differences():
+    g = np.random.default_rng(3)
+    for k in (np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(g.integers(0, 2**63, 5000, dtype=np.int64).view(np.uint64) * np.uint64(2))):
+        assert (interpolation._unpacked_keys(interpolation._packed_keys(k)) == k).all()
+
+
 def test_interpolation_odd(odd):
     got = interpolation.interpolated_scores(odd, interpolation.document_folds())
     assert got.count() == 12 and got.where("score is null or isnan(score) or score > 0").count() == 0
