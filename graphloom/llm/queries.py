@@ -92,9 +92,17 @@ ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k),
 m AS (SELECT doc_id, k, p, item_id FROM (SELECT doc_id, k, p, list_slice(w, p, p + k - 1) AS win FROM dw) JOIN bw USING (k, win)),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY 1),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM m) GROUP BY 1)
-SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM m) GROUP BY 1),
+t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT t, count(*) AS f FROM t GROUP BY 1),
+nw AS (SELECT row_number() OVER () AS id, win FROM (SELECT DISTINCT win FROM bw)),
+nt AS (SELECT DISTINCT id, unnest(win) AS t FROM nw),
+need AS (SELECT id, count(*) AS m, first(t ORDER BY coalesce(f, 0), t) AS t FROM nt LEFT JOIN f USING (t) GROUP BY 1),
+c AS (SELECT id, m, doc_id, p FROM need JOIN t USING (t)),
+ok AS (SELECT id, c.doc_id FROM c JOIN nt USING (id) JOIN t o ON o.doc_id = c.doc_id AND o.t = nt.t AND abs(o.p - c.p) <= 15 GROUP BY id, m, c.doc_id, c.p HAVING count(DISTINCT o.t) = m),
+n AS (SELECT doc_id, count(DISTINCT item_id::varchar) AS n_near FROM (SELECT DISTINCT id, doc_id FROM ok) JOIN nw USING (id) JOIN bw USING (win) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::bigint AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN n USING (doc_id)""",
     # Positions are unique, so a record that stands twice is two equal ones.
     "op1_merkle_fixity": f"""
 WITH a AS (
