@@ -36,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, count: str = "n", many: int = 1000, least: int = 100) -> DataFrame:
+    """rows joined with side, which has one row for each key and in `count` how many rows hold it.
+
+    The `many` keys of most rows (and more than `least`) are sent to all tasks, so their
+    rows stay where they are, however many; all other rows meet by their key.
+    """
+    hot = materialize(side.where(F.col(count) > least).orderBy(F.desc(count), key).limit(many), "hot_keys")
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side, key)
+    return left.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

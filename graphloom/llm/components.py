@@ -9,7 +9,7 @@ from graphloom.llm.common import materialize
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: the least node that each node of the edges (a, b; longs) reaches.
+    """node, root: the least node that each node of the edges (a, b; longs) reaches; least nodes themselves are no rows.
 
     Each round hangs every neighbour of a node on the least of them, first the larger
     ones and then the smaller (large star, small star), until nothing moves: a number of
@@ -32,3 +32,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def members(found: DataFrame, name: str) -> DataFrame:
+    """What components found, as `name` and root, with a row for each root as well."""
+    return found.select(F.col("node").alias(name), "root").unionByName(found.select(F.col("root").alias(name), "root").distinct())
