@@ -12,9 +12,9 @@ ones. Equal windows name equal anchors in the same place, so:
    groups of Lyndon prefixes (suffix_groups.py).
 3. Each document unites what its repeated windows cover.
 
-Counts go through packed, sorted keys per block of documents (a block asks, the bucket of
-the hash answers in the block's order), so a passage in a third of all documents is one
-entry per block. Where it has thousands of different surroundings, its windows are counted
+Counts go through packed, sorted keys per block of documents: a block asks about its
+different runs, saying which it holds twice, and the bucket of the hash answers in the
+block's order. So a passage in a third of all documents is one entry per block. Where it has thousands of different surroundings, its windows are counted
 one by one instead, by 64-bit hashes that any number of tasks share.
 """
 
@@ -159,6 +159,17 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[i
     return order, [(b, int(cuts[b]), int(cuts[b + 1])) for b in np.nonzero(np.diff(cuts))[0].tolist()]
 
 
+def _distinct_runs(anchor: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different runs by anchor: the place of one of each, which of them each run is, and whether it is there twice."""
+    order = np.lexsort((run, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (run[order[1:]] != run[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return first, which, np.bincount(which, minlength=len(first)) > 1
+
+
 def _five(keys: np.ndarray) -> bytes:
     """The leading five bytes of each hash. Anchors that share them are only asked about more closely."""
     return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -171,17 +182,21 @@ def _from_five(data: bytes) -> np.ndarray:
 
 
 def _judge_runs(table: pa.Table, most: int) -> pa.Table:
-    """Per run: 0 its anchor is unique, 1 repeated and all runs of its anchor alike, 2 repeated, 3 unique among others, 4 repeated and to stand for its like.
+    """Per different run of a block: 0 its anchor is unique, 1 repeated and all runs of its anchor alike, 2 repeated, 3 unique among others, 4 repeated and to stand for its like.
 
     5 and 6 are 3 and 4 of an anchor with more than `most` different runs.
     """
     anchor = [_from_five(x.as_py()) for x in table["keys"]]
     run = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table["runs"]])
     size = [len(x) for x in anchor]
+    # A run that a block holds twice counts as two.
+    many = 1 + np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=k) for x, k in zip(table["twice"], size)]).astype(np.int64)
     anchor = np.concatenate(anchor)
-    _, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
+    _, at = np.unique(anchor, return_inverse=True)
+    n = np.bincount(at, weights=many)
     with np.errstate(over="ignore"):
-        _, first, which, times = np.unique(_mix(anchor * np.uint64(3) + _mix(run)), return_index=True, return_inverse=True, return_counts=True)
+        _, first, which = np.unique(_mix(anchor * np.uint64(3) + _mix(run)), return_index=True, return_inverse=True)
+    times = np.bincount(which, weights=many)
     kinds = np.bincount(at[first], minlength=len(n))[at]
     repeated = times[which] > 1
     code = np.where(n[at] == 1, 0, np.where(kinds == 1, 1, np.where(repeated, 2, 3))).astype(np.uint8)
@@ -193,11 +208,16 @@ def _judge_runs(table: pa.Table, most: int) -> pa.Table:
 
 
 def _judge_windows(table: pa.Table) -> pa.Table:
-    """Per window a bit: does it occur twice."""
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
+    """Per different window of a block a bit: does it occur twice. Keys hold hashes, and after them which the block holds twice."""
+    keys, many = [], []
+    for x in table["keys"]:
+        data = x.as_py()
+        k = int.from_bytes(data[:4], "little")
+        keys.append(np.frombuffer(data, "<u8", k, 4))
+        many.append(1 + np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + 8 * k), count=k).astype(np.int64))
     size = [len(x) for x in keys]
-    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    twice = n[at] > 1
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    twice = np.bincount(at, weights=np.concatenate(many))[at] > 1
     cuts = np.cumsum([0, *size])
     return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
@@ -276,11 +296,16 @@ def _second(length: int, gram: int, buckets: int):
         docs = _ordered(docs)
         ids = docs["doc_id"].combine_chunks()
         texts = Texts(_bytes(docs["text"]), length, gram)
-        first, n, _, anchor, _ = texts.runs()
-        order = np.argsort(anchor, kind="stable")
+        first, n, _, anchor, run = texts.runs()
+        one, which, _ = _distinct_runs(anchor, run)
         code = np.zeros(len(first), np.uint8)
         if answers.num_rows:
-            code[order] = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.sort_by("bucket")["codes"]])
+            told = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.sort_by("bucket")["codes"]])
+            code = told[which]
+            # Only one of equal runs stands for its like; the others are repeated.
+            others = np.ones(len(code), bool)
+            others[one] = False
+            code[others & np.isin(code, (4, 6))] = 2
         sure = np.isin(code, (1, 2, 4, 6))
         # Runs of anchors with few different ones go as strings, by anchor; windows of the others as hashes.
         cold = np.flatnonzero((code == 3) | (code == 4))
@@ -291,8 +316,12 @@ def _second(length: int, gram: int, buckets: int):
         asked = [(buckets + b, int(n[cold[x:y]].sum()), k) for (b, x, y), k in zip(cuts, packed)]
         single = ranges(first[hot], n[hot])
         keys = texts.windows(single)
-        by, cuts = _by_bucket(keys, buckets)
-        asked = [(b, y - x, keys[by[x:y]].astype("<u8").tobytes()) for b, x, y in cuts] + asked
+        by = np.argsort(keys, kind="stable")
+        keys, many = np.unique(keys, return_counts=True)
+        _, cuts = _by_bucket(keys, buckets)
+        asked = [(b, y - x, (y - x).to_bytes(4, "little") + keys[x:y].astype("<u8").tobytes() + np.packbits(many[x:y] > 1).tobytes()) for b, x, y in cuts] + asked
+        # Each answer serves so many windows.
+        many = np.concatenate([many, np.ones(int(n[cold].sum()), np.int64)])
         # In the order in which buckets answer.
         window = np.concatenate([single[by], ranges(first[cold], n[cold])])
         stands = np.concatenate([np.repeat(code[hot] == 6, n[hot])[by], np.repeat(code[cold] == 4, n[cold])])
@@ -323,7 +352,7 @@ def _second(length: int, gram: int, buckets: int):
             mine = left[at] & ~stands
             moved[mine] = (window - begins[at] + new[at])[mine]
             zip_ = zstandard.ZstdCompressor(level=3).compress
-            rest = {"text": zip_(texts.data[byte].tobytes()), "gone": zip_(np.packbits(gone[byte]).tobytes()), "asked": zip_(moved.astype("<i4").tobytes())}
+            rest = {"text": zip_(texts.data[byte].tobytes()), "gone": zip_(np.packbits(gone[byte]).tobytes()), "asked": zip_(moved.astype("<i4").tobytes()), "many": zip_(many.astype("<i4").tobytes())}
             ids_left = ids.take(pa.array(some))
             rows.append(pa.table({"block": pa.array([block], pa.int64()), "kind": pa.array([2], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids_left)], pa.int32()), ids_left), "sizes": pa.array([sizes[some].astype("<i8").tobytes()], pa.binary()), **{c: pa.array([v], pa.binary()) for c, v in rest.items()}}))
         schema = _second_schema(ids.type)
@@ -333,7 +362,7 @@ def _second(length: int, gram: int, buckets: int):
 
 
 def _second_schema(kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", kind), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.binary()), ("text", pa.binary()), ("gone", pa.binary()), ("asked", pa.binary())])
+    return pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", kind), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.binary()), ("text", pa.binary()), ("gone", pa.binary()), ("asked", pa.binary()), ("many", pa.binary())])
 
 
 def _third(length: int, gram: int):
@@ -343,7 +372,7 @@ def _third(length: int, gram: int):
         out = []
         bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8)) for x in answers.sort_by("bucket")["codes"]]
         for r in range(left.num_rows):
-            row = {c: left[c][r].as_py() for c in ("sizes", "text", "gone", "asked")}
+            row = {c: left[c][r].as_py() for c in ("sizes", "text", "gone", "asked", "many")}
             un = zstandard.ZstdDecompressor().decompress
             sizes = np.frombuffer(row["sizes"], "<i8")
             data = un(row["text"])
@@ -352,6 +381,7 @@ def _third(length: int, gram: int):
             # Each bucket's bits are padded to a byte; its own number of keys is known from the next table.
             count = np.array([x.as_py() for x in answers.sort_by("bucket")["n"]], np.int64)
             twice = np.concatenate([b[:n] for b, n in zip(bits, count)]).astype(bool) if len(bits) else np.zeros(0, bool)
+            twice = np.repeat(twice, np.frombuffer(un(row["many"]), "<i4"))
             hit = asked[twice & (asked >= 0)]
             gone |= _covered(len(data), hit, hit + length)
             cuts = np.cumsum(np.r_[0, sizes])
@@ -389,10 +419,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, _, anchor, run = Texts(_bytes(_ordered(table)["text"]), length, gram).runs()
-        order, cuts = _by_bucket(anchor, buckets)
+        one, _, twice = _distinct_runs(anchor, run)
+        anchor, run = anchor[one], run[one]
+        _, cuts = _by_bucket(anchor, buckets)
         return pa.table({
             "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
-            "keys": pa.array([_five(anchor[order[a:b]]) for _, a, b in cuts], pa.binary()), "runs": pa.array([run[order[a:b]].astype("<u8").tobytes() for _, a, b in cuts], pa.binary()),
+            "keys": pa.array([_five(anchor[a:b]) for _, a, b in cuts], pa.binary()), "runs": pa.array([run[a:b].astype("<u8").tobytes() for _, a, b in cuts], pa.binary()),
+            "twice": pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in cuts], pa.binary()),
         })
 
     def judge_runs(table: pa.Table) -> pa.Table:
@@ -401,17 +434,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     def judge(table: pa.Table) -> pa.Table:
         return _judge_strings(table, length) if table["bucket"][0].as_py() >= strings else _judge_windows(table)
 
-    asked = placed.groupBy("block").applyInArrow(first, "block long, bucket int, keys binary, runs binary")
-    codes = asked.groupBy("bucket").applyInArrow(judge_runs, "block long, bucket int, codes binary").repartition(blocks, "block")
+    asked = placed.groupBy("block").applyInArrow(first, "block long, bucket int, keys binary, runs binary, twice binary")
+    codes = asked.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(judge_runs, "block long, bucket int, codes binary").repartition(blocks, "block")
     second = placed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        _second(length, gram, strings), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary"
+        _second(length, gram, strings), f"block long, kind int, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket int, keys binary, ids array<{kind}>, sizes binary, text binary, gone binary, asked binary, many binary"
     )
     second = materialize(second, "repeats")
     windows = second.where("kind = 1")
-    judged = windows.select("block", "bucket", "keys").groupBy("bucket").applyInArrow(judge, "block long, bucket int, codes binary")
+    # Few bytes, but much work: as many tasks as said here, which bytes would not ask for.
+    judged = windows.select("block", "bucket", "keys").repartition(8 * buckets, "bucket").groupBy("bucket").applyInArrow(judge, "block long, bucket int, codes binary")
     sized = windows.select("block", "bucket", F.col("n_bytes").alias("n"))
     told = judged.join(sized, ["block", "bucket"])
-    left = second.where("kind = 2").select("block", "ids", "sizes", "text", "gone", "asked")
+    left = second.where("kind = 2").select("block", "ids", "sizes", "text", "gone", "asked", "many")
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     last = left.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_third(length, gram), result)
     return second.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(last)
