@@ -11,16 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import snapshot
 from graphloom.functions import prob
 from graphloom.operators import algebra, analytics, certify, constraints, modal, network, paths, planning, reconcile, retrieve
 from graphloom.plans import rpq
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.parse_native import parse_query, parse_regex
 from graphloom.session import GraphSession
-from graphloom.snapshot import STEP, TAGS, Graph, chain_graph, star_graph
+from graphloom.snapshot import STEP, TAGS, Graph
 from graphloom.sources import ingest
 from graphloom.streaming import store, stream
 
+
+
+def star_graph(spark: SparkSession, sf: str) -> Graph:
+    return snapshot.stored(snapshot.star_graph, spark, sf)
+
+
+def chain_graph(spark: SparkSession, sf: str) -> Graph:
+    return snapshot.stored(snapshot.chain_graph, spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,20 +43,20 @@ _ENT = """ent AS (
   SELECT 50000000000 + p_partkey, 'Part', p_name FROM part UNION ALL
   SELECT 60000000000 + o_orderkey, 'Order', o_orderkey::varchar FROM orders UNION ALL
   SELECT DISTINCT 90000000000 + substr(o_orderpriority, 1, 1)::bigint, 'Context', o_orderpriority FROM orders)"""
-_FACT = """fact AS (
+_FACT = """fact AS MATERIALIZED (
   SELECT ('0x' || substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::bigint AS fact_id, 60000000000 + l_orderkey AS "order", l_linenumber::bigint AS line,
          50000000000 + l_partkey AS part, 40000000000 + l_suppkey AS supplier, max(cast(1 - l_discount AS float)) AS confidence
   FROM lineitem GROUP BY 1, 2, 3, 4, 5),
 fctx AS (SELECT fact_id, 90000000000 + substr(o_orderpriority, 1, 1)::bigint AS ctx_id FROM fact JOIN orders ON o_orderkey + 60000000000 = "order")"""
 _EDGE = _FACT + """,
-pedge AS (
+pedge AS MATERIALIZED (
   SELECT 'inRegion' AS rel, 20000000000 + n_nationkey AS src, 10000000000 + n_regionkey AS dst, 1::float AS confidence FROM nation UNION ALL
   SELECT 'inNation', 30000000000 + c_custkey, 20000000000 + c_nationkey, 1 FROM customer UNION ALL
   SELECT 'inNation', 40000000000 + s_suppkey, 20000000000 + s_nationkey, 1 FROM supplier UNION ALL
   SELECT 'placedBy', 60000000000 + o_orderkey, 30000000000 + o_custkey, 1 FROM orders UNION ALL
   SELECT 'hasPart', "order", part, confidence FROM fact UNION ALL
   SELECT 'suppliedBy', part, supplier, confidence FROM fact),
-edge AS (SELECT DISTINCT rel, src, dst FROM pedge)"""
+edge AS MATERIALIZED (SELECT DISTINCT rel, src, dst FROM pedge)"""
 _TURN = """turn AS (SELECT 70000000000 + conv_id * 1000 + turn AS id, conv_id, turn AS n, role, text FROM conversations),
 nxt AS (SELECT * FROM (SELECT id AS src, lead(id) OVER (PARTITION BY conv_id ORDER BY n) AS dst FROM turn) WHERE dst IS NOT NULL)"""
 
@@ -95,8 +106,9 @@ ORACLE_SQL["grounded"] = "SELECT true AS satisfied FROM nation WHERE n_nationkey
 asks("edge_join", "select ?o ?n where ?o -placedBy-> ?c, ?c -inNation-> ?n", "SELECT 60000000000 + o_orderkey AS o, 20000000000 + c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 asks(
     "bgp_cycle", "select ?o ?p ?s where ?o -placedBy-> ?c, ?c -inNation-> ?n, ?s : Supplier, ?s -inNation-> ?n, ?o -hasPart-> ?p, ?p -suppliedBy-> ?s",
-    f"""WITH {_EDGE} SELECT a.src AS o, d.dst AS p, e.dst AS s FROM edge a JOIN edge b ON b.src = a.dst AND b.rel = 'inNation' JOIN edge d ON d.src = a.src AND d.rel = 'hasPart'
-    JOIN edge e ON e.src = d.dst AND e.rel = 'suppliedBy' JOIN edge c ON c.src = e.dst AND c.rel = 'inNation' AND c.dst = b.dst WHERE a.rel = 'placedBy'""",
+    f"""WITH {_EDGE}, home AS MATERIALIZED (SELECT a.src AS o, b.dst AS n FROM edge a JOIN edge b ON b.src = a.dst AND b.rel = 'inNation' WHERE a.rel = 'placedBy'),
+    offer AS MATERIALIZED (SELECT e.src AS p, e.dst AS s, c.dst AS n FROM edge e JOIN edge c ON c.src = e.dst AND c.rel = 'inNation' WHERE e.rel = 'suppliedBy')
+    SELECT d.src AS o, d.dst AS p, s FROM edge d JOIN home ON home.o = d.src JOIN offer ON offer.p = d.dst AND offer.n = home.n WHERE d.rel = 'hasPart'""",
 )
 asks("fact_atom_nary", 'select ?o ?p where ?f = LineItem(order=?o, part=?p, supplier=?s), ?s -inNation-> NATION_7', f"WITH {_FACT} SELECT \"order\" AS o, part AS p FROM fact JOIN supplier ON supplier = 40000000000 + s_suppkey WHERE s_nationkey = 7")
 asks("context_single", 'select ?o ?s where LineItem(order=?o, supplier=?s) in "1-URGENT"', f"WITH {_FACT} SELECT \"order\" AS o, supplier AS s FROM fact JOIN fctx USING (fact_id) WHERE ctx_id = 90000000001")
@@ -123,22 +135,27 @@ asks("rpq_reverse", "select ?x where ?x -next+-> 70000000003", f"WITH RECURSIVE
 asks("rpq_strict_hops", "select ?x ?y where ?x -next/next/next-> ?y max_hops 2", f"WITH {_TURN} SELECT src AS x, dst AS y FROM nxt WHERE false", graph=chain_graph, strict_max_hops=True)
 
 
-def cyclic_graph(spark: SparkSession, sf: str) -> Graph:
-    """Suppliers and nations, and an edge back for some of the suppliers: a graph with cycles."""
+def _with_cycles(spark: SparkSession, sf: str) -> Graph:
+    """The whole star graph and an edge from a region to each supplier: a graph with cycles."""
     g = star_graph(spark, sf)
-    keep = g.edges.where("rel in ('inNation', 'inRegion')").where(f"src < {5 * STEP}")
     s = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("xxhash64('hosts', s_suppkey) as edge_id", "'hosts' as rel", f"{TAGS['Region'] * STEP} + s_nationkey % 5 as src", f"{TAGS['Supplier'] * STEP} + s_suppkey as dst", "cast(0.5 as float) as confidence")
-    return Graph.of(spark, entities=g.entities.where(f"id < {5 * STEP} and id >= {TAGS['Region'] * STEP}"), edges=keep.unionByName(s))
+    return Graph.of(spark, entities=g.entities, edges=g.edges.unionByName(s))
+
+
+def cyclic_graph(spark: SparkSession, sf: str) -> Graph:
+    return snapshot.stored(_with_cycles, spark, sf)
 
 
 _CYCLE = """cyc AS (SELECT DISTINCT * FROM (SELECT 'inNation' AS rel, 40000000000 + s_suppkey AS src, 20000000000 + s_nationkey AS dst FROM supplier UNION ALL SELECT 'inNation', 30000000000 + c_custkey, 20000000000 + c_nationkey FROM customer UNION ALL
   SELECT 'inRegion', 20000000000 + n_nationkey, 10000000000 + n_regionkey FROM nation UNION ALL SELECT 'hosts', 10000000000 + s_nationkey % 5, 40000000000 + s_suppkey FROM supplier)),
 cnode AS (SELECT 10000000000 + r_regionkey AS id FROM region UNION ALL SELECT 20000000000 + n_nationkey FROM nation UNION ALL SELECT 30000000000 + c_custkey FROM customer UNION ALL SELECT 40000000000 + s_suppkey FROM supplier)"""
 _REACH = f"WITH RECURSIVE {_CYCLE}, reach AS (SELECT src AS x, dst AS y FROM cyc UNION SELECT x, dst FROM reach JOIN cyc ON y = src)"
+# No edge leads from a cycle to a customer, an order or a part, so each is a component of its own.
+_WHOLE = f"""{_ENT}, {_EDGE}, hosts AS (SELECT 10000000000 + s_nationkey % 5 AS src, 40000000000 + s_suppkey AS dst FROM supplier), wedge AS (SELECT src, dst FROM pedge UNION ALL SELECT src, dst FROM hosts)"""
 asks("rpq_plus_cycle", "select ?x ?y where ?x : Nation, ?x -(inNation|inRegion|hosts)+-> ?y", f"{_REACH} SELECT x, y FROM reach WHERE x BETWEEN 20000000000 AND 29999999999", graph=cyclic_graph)
 
 
-@query(f"{_REACH}, back AS (SELECT a.x, a.y FROM reach a JOIN reach b ON a.x = b.y AND a.y = b.x UNION SELECT id, id FROM cnode) SELECT x AS id, min(y) AS component FROM back GROUP BY x")
+@query(f"{_REACH}, back AS (SELECT a.x, a.y FROM reach a JOIN reach b ON a.x = b.y AND a.y = b.x UNION SELECT id, id FROM cnode) SELECT x AS id, min(y) AS component FROM back GROUP BY x UNION ALL SELECT id, id FROM ent WHERE id >= 50000000000".replace("WITH RECURSIVE ", f"WITH RECURSIVE {_ENT}, "))
 def strong_components(spark, sf):
     g = cyclic_graph(spark, sf)
     return network.strong_components(g.entities.select("id"), g.edges)
@@ -151,28 +168,27 @@ def weak_components(spark, sf):
     return network.weak_components(g.entities.select("id"), g.edges)
 
 
-@query(f"""WITH RECURSIVE {_CYCLE}, n AS (SELECT count(*) AS n FROM cnode), d AS (SELECT src, count(*) AS d FROM cyc GROUP BY src),
-pr AS (SELECT 0 AS k, id, 1.0::double / n AS rank FROM cnode, n
-  UNION ALL SELECT k + 1, c.id, 0.15::double / n.n + 0.85::double * (coalesce(g.got, 0) + coalesce(s.dang, 0) / n.n)
-  FROM (SELECT DISTINCT k FROM pr WHERE k < 5) kk, cnode c, n
-  LEFT JOIN (SELECT e.dst, sum(p.rank / d.d) AS got FROM pr p JOIN cyc e ON e.src = p.id JOIN d ON d.src = e.src GROUP BY e.dst) g ON g.dst = c.id
-  LEFT JOIN (SELECT sum(rank) AS dang FROM pr WHERE id NOT IN (SELECT src FROM d)) s ON true)
-SELECT id, round(rank, 9) AS rank FROM pr WHERE k = 5""")
+@query(f"""WITH RECURSIVE {_WHOLE}, w AS MATERIALIZED (SELECT src, dst, count(*) AS m FROM wedge GROUP BY 1, 2), d AS MATERIALIZED (SELECT src, count(*) AS d FROM wedge GROUP BY src),
+share AS MATERIALIZED (SELECT w.src, w.dst, m / d AS share FROM w JOIN d USING (src)), n AS MATERIALIZED (SELECT id, (SELECT count(*) FROM ent) AS n, d.src IS NULL AS sink FROM ent LEFT JOIN d ON d.src = id),
+pr AS (SELECT 0 AS k, id, 1.0::double / n AS rank, sink FROM n
+  UNION ALL SELECT (SELECT max(k) + 1 FROM pr), n.id, 0.15::double / n.n + 0.85::double * (coalesce(g.got, 0) + coalesce((SELECT sum(rank) FROM pr WHERE sink), 0) / n.n), n.sink
+  FROM n LEFT JOIN (SELECT s.dst, sum(p.rank * s.share) AS got FROM pr p JOIN share s ON s.src = p.id GROUP BY s.dst) g ON g.dst = n.id WHERE (SELECT max(k) FROM pr) < 30)
+SELECT id, round(rank, 9) AS rank FROM pr WHERE k = 30""")
 def pagerank(spark, sf):
     g = cyclic_graph(spark, sf)
-    return network.pagerank(g.entities.select("id"), g.edges, iterations=5).select("id", F.round("rank", 9).alias("rank"))
+    return network.pagerank(g.entities.select("id"), g.edges).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query()
 def betweenness(spark, sf):
     g = cyclic_graph(spark, sf)
-    return network.betweenness(g.entities.select("id"), g.edges, samples=16)
+    return network.betweenness(g.entities.select("id"), g.edges)
 
 
 @query()
 def communities(spark, sf):
     g = cyclic_graph(spark, sf)
-    return network.communities(g.entities.select("id"), g.edges, rounds=8)
+    return network.communities(g.entities.select("id"), g.edges)
 
 
 @query(f"WITH {_EDGE}, {_ENT} SELECT min(o) AS min_n_out, max(o) AS max_n_out, round(avg(o), 6) AS mean_n_out, min(i) AS min_n_in, max(i) AS max_n_in, round(avg(i), 6) AS mean_n_in, min(o + i) AS min_total, max(o + i) AS max_total, round(avg(o + i), 6) AS mean_total FROM (SELECT id, (SELECT count(*) FROM pedge WHERE src = id) AS o, (SELECT count(*) FROM pedge WHERE dst = id) AS i FROM ent)")
@@ -289,9 +305,9 @@ def context_histogram(spark, sf):
 _CERTIFIED = "select ?o ?s where ?o : Order, ?o -hasPart/suppliedBy-> ?s, ?s -inNation-> NATION_7"
 
 
-@query(f"""WITH {_EDGE}, best AS (SELECT rel, src, dst, floor(max(confidence)::double * 1000000 + 0.5)::bigint AS p FROM pedge GROUP BY ALL)
-SELECT a.src AS o, a.dst AS via, b.dst AS s, 3 AS n, ((a.p * b.p // 1000000) * c.p // 1000000)::bigint AS proof FROM best a JOIN best b ON b.src = a.dst AND b.rel = 'suppliedBy'
-JOIN best c ON c.src = b.dst AND c.rel = 'inNation' JOIN nation ON c.dst = 20000000000 + n_nationkey AND n_name = 'NATION_7' WHERE a.rel = 'hasPart'""")
+@query(f"""WITH {_EDGE}, best AS MATERIALIZED (SELECT rel, src, dst, floor(max(confidence)::double * 1000000 + 0.5)::bigint AS p FROM pedge GROUP BY ALL),
+last AS MATERIALIZED (SELECT b.src, b.dst, b.p AS p1, c.p AS p2 FROM best b JOIN best c ON c.src = b.dst AND c.rel = 'inNation' JOIN nation ON c.dst = 20000000000 + n_nationkey AND n_name = 'NATION_7' WHERE b.rel = 'suppliedBy')
+SELECT a.src AS o, a.dst AS via, l.dst AS s, 3 AS n, ((a.p * p1 // 1000000) * p2 // 1000000)::bigint AS proof FROM best a JOIN last l ON l.src = a.dst WHERE a.rel = 'hasPart'""")
 def certified_rows(spark, sf):
     out = certify.certify(star_graph(spark, sf), parse_query(_CERTIFIED))
     return out.select("o", F.col("_mid1").alias("via"), "s", F.size("witness").alias("n"), "proof")

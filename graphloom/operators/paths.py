@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +96,16 @@ def best_path(graph: Graph, src: int, dst: int, max_length: int = 5, rels: list[
     return simple_paths(graph, src, dst, max_length, rels=rels).orderBy(F.desc("confidence"), "length", "nodes").limit(1)
 
 
-def best_confidences(graph: Graph, src: int, rounds: int = 10, rels: list[str] | None = None) -> DataFrame:
-    """id, confidence: the best product over paths of at most `rounds` edges, by relaxation, a minimum per node and round."""
+def best_confidences(graph: Graph, src: int, rounds: int | None = None, rels: list[str] | None = None) -> DataFrame:
+    """id, confidence: the best product over all paths, or those of at most `rounds` edges, by relaxation, a maximum per node and round.
+
+    It settles, as confidences are 1 at most and a way round a cycle never gains.
+    """
     e = graph.best_edges()
     e = e if rels is None else e.where(F.col("rel").isin(rels))
     step = e.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("confidence").cast("double").alias("c"))
     best = graph.spark.createDataFrame([(src, 1.0)], "id bigint, confidence double")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         grown = best.join(step, "id").select(F.col("to").alias("id"), (F.col("confidence") * F.col("c")).alias("confidence"))
         new = cut(best.unionByName(grown).groupBy("id").agg(F.max("confidence").alias("confidence")))
         if new.exceptAll(best).isEmpty():

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none."""
-    path = spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            os.makedirs("/tmp/checkpoints", exist_ok=True)
-            path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
+    """The shared folder that the session names; one of our own only where a local session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared folder, so that later rounds do not go back before it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared folder and read back: later rounds do not go back before it, and plan with its true size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ ends when nothing is new. Each (source, node, state) is met once, at its least d
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -134,8 +135,8 @@ def flipped(graph: Graph) -> Graph:
     return replace(graph, edges=graph.edges.select("edge_id", "rel", F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence"))
 
 
-def witnesses(graph: Graph, regex, start: int, target: int, max_hops: int = 16, min_conf: float | None = None) -> list[int] | None:
-    """Edge ids of a shortest matching path from start to target; None where there is none."""
+def witnesses(graph: Graph, regex, start: int, target: int, max_hops: int | None = None, min_conf: float | None = None) -> list[int] | None:
+    """Edge ids of a shortest matching path from start to target, of any length or of max_hops edges at most; None where there is none."""
     nfa = Automaton(regex)
     best = graph.best_edges(min_conf).where(F.col("rel").isin(sorted(labels_of(regex))))
     flat = graph.spark.createDataFrame(nfa.transitions, "state int, rel string, state2 int")
@@ -143,7 +144,7 @@ def witnesses(graph: Graph, regex, start: int, target: int, max_hops: int = 16,
     if start == target and nfa.accepts_empty:
         return []
     seen = frontier = cut(graph.spark.createDataFrame([(start, nfa.first, [])], "node bigint, state int, path array<bigint>"))
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         step = frontier.join(steps, ["node", "state"]).select(F.col("node2").alias("node"), F.col("state2").alias("state"), F.concat("path", F.array("edge_id")).alias("path"))
         frontier = cut(step.groupBy("node", "state").agg(F.min("path").alias("path")).join(seen.select("node", "state"), ["node", "state"], "left_anti"))
         hit = frontier.where((F.col("node") == target) & F.col("state").isin(sorted(nfa.accepting))).agg(F.min("path")).first()[0]

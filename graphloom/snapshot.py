@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.fixpoint import checkpoint_dir
+
 ENTITIES = "id bigint, type string, name string"
 TYPES = "id bigint, type string"
 ATTRS = "id bigint, key string, value string"
@@ -90,6 +92,7 @@ class Graph:
     wide: dict[str, DataFrame] = field(default_factory=dict)  # relation -> fact_id, a column for each field
     meta: Meta = field(default_factory=Meta)
     snapshot_id: str = ""
+    stored_pairs: tuple[DataFrame, DataFrame] | None = None  # edges, and the same without parallel ones, as a snapshot keeps them
 
     @classmethod
     def of(cls, spark: SparkSession, wide: dict | None = None, meta: Meta | None = None, **tables) -> Graph:
@@ -106,9 +109,12 @@ class Graph:
 
     def adjacency(self, rels: list[str] | None = None, min_conf: float | None = None) -> DataFrame:
         """rel, src, dst without parallel edges; a threshold needs one of them at or above it."""
-        e = self.edges
+        kept = min_conf is None and self.stored_pairs is not None and self.stored_pairs[0] is self.edges
+        e = self.stored_pairs[1] if kept else self.edges
         if rels is not None:
             e = e.where(F.col("rel").isin(rels))
+        if kept:
+            return e
         if min_conf is not None:
             e = e.where(F.col("confidence") >= F.lit(min_conf).cast("float"))
         return e.select("rel", "src", "dst").distinct()
@@ -193,6 +199,8 @@ class Graph:
             (w.partitionBy("rel") if name == "edges" else w.partitionBy("schema", "relation") if name == "facts" else w).parquet(f"{path}/{name}")
         for rel, t in self.wide.items():
             t.write.mode("overwrite").parquet(f"{path}/facts_{rel}")
+        edges = self.spark.read.schema(EDGES).parquet(f"{path}/edges")
+        edges.select("rel", "src", "dst").distinct().write.mode("overwrite").partitionBy("rel").parquet(f"{path}/pairs")
         manifest = {"magic": "graphloom", "version": FORMAT_VERSION, "snapshot_id": self.snapshot_id, "features": sorted(self.wide), "meta": meta_to_dict(self.meta)}
         self.spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -203,7 +211,8 @@ class Graph:
             raise ValueError(f"{path} holds no snapshot of version {FORMAT_VERSION}")
         tables = {n: spark.read.schema(s).parquet(f"{path}/{n}").select(*[c.split()[0] for c in s.split(", ")]) for n, s in TABLES.items()}
         wide = {r: spark.read.parquet(f"{path}/facts_{r}") for r in found["features"]}
-        return cls(spark, wide=wide, meta=meta_from_dict(found["meta"]), snapshot_id=found["snapshot_id"], **tables)
+        pairs = spark.read.schema("rel string, src bigint, dst bigint").parquet(f"{path}/pairs").select("rel", "src", "dst")
+        return cls(spark, wide=wide, meta=meta_from_dict(found["meta"]), snapshot_id=found["snapshot_id"], stored_pairs=(tables["edges"], pairs), **tables)
 
 
 def meta_to_dict(m: Meta) -> dict:
@@ -261,6 +270,19 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark, entities, entities.select("id", "type"), attrs, edges, facts, wide.join(prio, "order").select("fact_id", "ctx_id"), empty, {"LineItem": wide}, meta, f"star:{sf_dir}")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build, spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph that build(spark, sf_dir) makes, read from a snapshot, which the session's first call writes to the shared folder."""
+    key = (spark.sparkContext.applicationId, build.__name__, sf_dir)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+        build(spark, sf_dir).write(path)
+        _STORED[key] = path
+    return Graph.read(spark, _STORED[key])
+
+
 def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Turns of conversations, each linked to the next one."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(f"{TAGS['Turn'] * STEP} + conv_id * 1000 + turn as id", "'Turn' as type", "concat(conv_id, '_', turn) as name", "conv_id", "turn", "role", "text")

@@ -1,6 +1,7 @@
 """Operators on small inputs with known answers."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,48 @@ def test_network(ring):
     assert network.modularity(network.weak_components(nodes, edges), edges).first()[0] == pytest.approx(0)
 
 
+def test_strong_components_of_long_chains_and_random_graphs(spark):
+    """A chain of 500 nodes with a cycle in its middle, and graphs against a search from each node."""
+    chain = [(i, i + 1) for i in range(499)] + [(260, 240)]
+    df = lambda e: spark.createDataFrame(e, "src bigint, dst bigint")
+    rows = dict(network.strong_components(spark.range(500), df(chain)).collect())
+    assert rows == {i: 240 if 240 <= i <= 260 else i for i in range(500)}
+    r = random.Random(5)
+    for n, m in ((12, 14), (25, 40), (40, 44)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        reach = {}
+        for i in range(n):
+            seen, todo = {i}, [i]
+            while todo:
+                x = todo.pop()
+                for a, b in edges:
+                    if a == x and b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            reach[i] = seen
+        want = {i: min(j for j in reach[i] if i in reach[j]) for i in range(n)}
+        assert dict(network.strong_components(spark.range(n), df(edges)).collect()) == want
+
+
+def test_communities_gain_modularity(spark):
+    """Two cliques with one edge between them part; no single move of a node would gain any more."""
+    cliques = [(a, b) for k in (0, 10) for a in range(k, k + 6) for b in range(a + 1, k + 6)] + [(5, 10)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(6), *range(10, 16), 99]], "id bigint")
+    labels = dict(network.communities(nodes, spark.createDataFrame(cliques, "src bigint, dst bigint")).collect())
+    assert labels == {**{i: 0 for i in range(6)}, **{i: 10 for i in range(10, 16)}, 99: 99}
+    r = random.Random(2)
+    edges = [(r.randrange(8), r.randrange(8)) for _ in range(25)] + [(8 + r.randrange(8), 8 + r.randrange(8)) for _ in range(25)] + [(3, 11), (4, 12)]
+    edges = [(a, b) for a, b in edges if a != b]
+    labels = dict(network.communities(spark.range(16), spark.createDataFrame(edges, "src bigint, dst bigint")).collect())
+    k = [sum((a == i) + (b == i) for a, b in edges) for i in range(16)]
+
+    def q(lab):
+        inside = sum(lab[a] == lab[b] for a, b in edges) / len(edges)
+        return inside - sum((sum(k[i] for i in range(16) if lab[i] == c) / (2 * len(edges))) ** 2 for c in set(lab.values()))
+
+    assert all(q({**labels, i: c}) <= q(labels) + 1e-9 for i in range(16) for c in set(labels.values()))
+
+
 def test_paths(ring):
     assert got(paths.follow(ring, 0, ["r", "r"])) == [(2,)]
     assert got(paths.follow(ring, 0, [])) == [(0,)]
