@@ -457,7 +457,11 @@ def page_titles(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", ingest.page_title(F.col("html")).alias("title"))
 
 
-@query()
+_HTML_TEXT = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '</(p|div|li|tr|h[1-6])>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'gs'),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ')"""
+
+
+@query(f"SELECT page_id, {_HTML_TEXT} AS text FROM pages")
 def page_text(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", ingest.html_text(F.col("html")).alias("text"))
 
@@ -507,7 +511,17 @@ def fact_conflicts(spark, sf):
     return reconcile.conflicts(e).select("a", "b")
 
 
-@query()
+_ARRIVAL = "{{'value': {0}.value, 'weight': {1}, 'fact_id': {0}.fact_id, 'state': {2}, 'merged': {3}}}"
+
+
+@query(f"""SELECT subject, attribute, h.value AS value, h.weight AS weight, h.fact_id AS fact_id, h.state AS state, h.merged AS merged FROM (
+SELECT user_id::varchar AS subject, 'kind' AS attribute, list_reduce(list({{'value': event_type, 'weight': least(value / 100, 1.0)::double, 'fact_id': event_id, 'state': 'kept', 'merged': 0::bigint}} ORDER BY event_id),
+lambda a, x: CASE WHEN x.value = a.value THEN {_ARRIVAL.format("a", "1 - (1 - a.weight) * (1 - x.weight)", "a.state", "a.merged + 1")}
+WHEN (x.weight >= 0.95::double AND a.weight < 0.95::double) OR x.weight - a.weight >= 0.2::double THEN {_ARRIVAL.format("x", "x.weight", "'replaced'", "a.merged")}
+WHEN x.weight - a.weight <= -0.2::double THEN {_ARRIVAL.format("a", "a.weight", "'kept'", "a.merged")}
+WHEN x.weight - a.weight >= 0.1::double THEN {_ARRIVAL.format("x", "x.weight", "'merged'", "a.merged + 1")}
+WHEN a.weight - x.weight >= 0.1::double THEN {_ARRIVAL.format("a", "a.weight", "'merged'", "a.merged + 1")}
+ELSE {_ARRIVAL.format("a", "a.weight", "'review'", "a.merged")} END) AS h FROM events GROUP BY 1)""")
 def fact_reconciliation(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("fact_id"), F.col("user_id").cast("string").alias("subject"), F.lit("kind").alias("attribute"), F.col("event_type").alias("value"), F.least(F.col("value") / 100, F.lit(1.0)).alias("weight"), F.col("event_id").alias("arrived"))
     return reconcile.reconcile(e)

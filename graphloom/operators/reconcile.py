@@ -5,16 +5,11 @@ facts: fact_id, subject, attribute, value, weight, source, arrived (an order).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.prob import clamp, decayed
 
-RESULT = "subject string, attribute string, value string, weight double, fact_id bigint, state string, merged bigint"
-
 
 def conflicts(facts: DataFrame) -> DataFrame:
     """Pairs of facts that give one subject's attribute different values."""
@@ -31,30 +26,27 @@ def reconcile(facts: DataFrame, gap: float = 0.2, expert_weight: float = 0.95) -
     it merged; less leaves it for review.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        held = None
-        for r in batches.sort_values(["arrived", "fact_id"]).itertuples():
-            if held is None:
-                held = [r.value, float(r.weight), int(r.fact_id), "kept", 0]
-            elif r.value == held[0]:
-                held[1], held[4] = 1 - (1 - held[1]) * (1 - float(r.weight)), held[4] + 1
-            else:
-                d = float(r.weight) - held[1]
-                if r.weight >= expert_weight > held[1] or d >= gap:
-                    held = [r.value, float(r.weight), int(r.fact_id), "replaced", held[4]]
-                elif d <= -gap:
-                    held[3] = "kept"
-                elif abs(d) >= gap / 2:
-                    held = [r.value, float(r.weight), int(r.fact_id), "merged", held[4] + 1] if d > 0 else [*held[:3], "merged", held[4] + 1]
-                else:
-                    held[3] = "review"
-        first = batches.iloc[0]
-        return pd.DataFrame([[first.subject, first.attribute, *held]], columns=["subject", "attribute", "value", "weight", "fact_id", "state", "merged"])
-
-    def typed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf)
-
-    return facts.select("subject", "attribute", "value", "weight", "fact_id", "arrived").groupBy("subject", "attribute").applyInPandas(typed, RESULT)
+    def made(value: Column, weight: Column, fact_id: Column, state: Column, merged: Column) -> Column:
+        return F.struct(value.alias("value"), weight.alias("weight"), fact_id.alias("fact_id"), state.alias("state"), merged.alias("merged"))
+
+    def step(held: Column, x: Column) -> Column:
+        d = x["weight"] - held["weight"]
+        own = held["value"], held["weight"], held["fact_id"]
+        new = x["value"], x["weight"], x["fact_id"]
+        return (
+            F.when(x["value"] == held["value"], made(held["value"], 1 - (1 - held["weight"]) * (1 - x["weight"]), held["fact_id"], held["state"], held["merged"] + 1))
+            .when(((x["weight"] >= expert_weight) & (held["weight"] < expert_weight)) | (d >= gap), made(*new, F.lit("replaced"), held["merged"]))
+            .when(d <= -gap, made(*own, F.lit("kept"), held["merged"]))
+            .when(d >= gap / 2, made(*new, F.lit("merged"), held["merged"] + 1))
+            .when(d <= -gap / 2, made(*own, F.lit("merged"), held["merged"] + 1))
+            .otherwise(made(*own, F.lit("review"), held["merged"]))
+        )
+
+    arrival = F.struct("arrived", F.col("fact_id").cast("bigint").alias("fact_id"), "value", F.col("weight").cast("double").alias("weight"))
+    v = facts.groupBy("subject", "attribute").agg(F.sort_array(F.collect_list(arrival)).alias("v"))
+    first = F.col("v")[0]
+    held = F.aggregate(F.slice("v", 2, F.size("v")), made(first["value"], first["weight"], first["fact_id"], F.lit("kept"), F.lit(0).cast("bigint")), step)
+    return v.select("subject", "attribute", held.alias("h")).select("subject", "attribute", "h.*")
 
 
 def voted(weights: DataFrame, votes: DataFrame, up: float = 0.1, down: float = 0.15) -> DataFrame:
