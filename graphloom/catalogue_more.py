@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalogue import _CYCLE, _EDGE, _ENT, _FACT, _REACH, _WHOLE, chain_graph, cyclic_graph, query, star_graph
 from graphloom.functions import prob, text
-from graphloom.operators import algebra, analytics, constraints, migrate, modal, network, paths, planning, reconcile, retrieve
+from graphloom.operators import algebra, analytics, constraints, migrate, modal, network, paths, planning, reconcile, retrieve, vectors
 from graphloom.plans import rpq
 from graphloom.plans.parse_native import parse_regex
 from graphloom.session import GraphSession
@@ -456,3 +456,12 @@ def pulled_back(spark, sf):
     arr = c.selectExpr("'in' as arrow", "concat('c', c_custkey) as src", "concat('n', c_nationkey) as dst").unionByName(n.selectExpr("'of' as arrow", "concat('n', n_nationkey) as src", "concat('r', n_regionkey) as dst"))
     larger = migrate.Morphism({"Person": "Client", "Place": "Area"}, {"lies": ("home",)}).then(migrate.Morphism({"Client": "Customer", "Area": "Region"}, {"home": ("in", "of")}))
     return migrate.pullback(larger, {"lies": ("Person", "Place")}, obj, arr)[1]
+
+
+@query()
+def vector_cells(spark, sf):
+    """Approximate neighbours of every id divisible by 100; tests measure the recall."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = vectors.fit_centres(e)
+    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return vectors.search_cells(vectors.cell_index(e, centres), q, centres, 5, vectors.probes_for(e, centres, 5))
