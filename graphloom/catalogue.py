@@ -132,7 +132,12 @@ asks("rpq_star_chain", "select ?x ?y where ?x : Turn, ?x -next*-> ?y", _STAR, gr
 asks("rpq_plus_chain", "select ?x ?y where ?x -next+-> ?y", _STAR.replace("SELECT id AS x, id AS y FROM turn", "SELECT src AS x, dst AS y FROM nxt"), graph=chain_graph)
 asks("rpq_max_hops", "select ?x ?y where ?x : Turn, ?x -next*-> ?y max_hops 2", f"WITH {_TURN} SELECT id AS x, id AS y FROM turn UNION SELECT src, dst FROM nxt UNION SELECT a.src, b.dst FROM nxt a JOIN nxt b ON a.dst = b.src", graph=chain_graph)
 asks("rpq_reverse", "select ?x where ?x -next+-> 70000000003", f"WITH RECURSIVE {_TURN}, reach AS (SELECT 70000000003 AS x UNION SELECT src FROM reach JOIN nxt ON x = dst) SELECT x FROM reach WHERE x <> 70000000003", graph=chain_graph)
-asks("rpq_strict_hops", "select ?x ?y where ?x -next/next/next-> ?y max_hops 2", f"WITH {_TURN} SELECT src AS x, dst AS y FROM nxt WHERE false", graph=chain_graph, strict_max_hops=True)
+@query(f"WITH {_TURN} SELECT a.src AS x, c.dst AS y FROM nxt a JOIN nxt b ON a.dst = b.src JOIN nxt c ON b.dst = c.src")
+def rpq_strict_hops(spark, sf):
+    """A chain of three is bounded only where that is asked for: with two hops there is nothing."""
+    s = GraphSession(chain_graph(spark, sf))
+    ask = lambda n: s.query(f"select ?x ?y where ?x -next/next/next-> ?y max_hops {n}", limit=None, strict_max_hops=True)
+    return ask(2).unionByName(ask(3))
 
 
 def _with_cycles(spark: SparkSession, sf: str) -> Graph:
@@ -313,10 +318,12 @@ def certified_rows(spark, sf):
     return out.select("o", F.col("_mid1").alias("via"), "s", F.size("witness").alias("n"), "proof")
 
 
-@query("SELECT 1::bigint AS o, 1::bigint AS s WHERE false")
+@query(f"SELECT o, s FROM ({ORACLE_SQL['certified_rows']}) WHERE via % 2 = 0")
 def certified_violations(spark, sf):
+    """Of certificates of which those through even parts are falsified, the ones that do not verify."""
     g, q = star_graph(spark, sf), parse_query(_CERTIFIED)
-    return certify.verify(g, q, certify.certify(g, q)).select("o", "s")
+    rows = certify.certify(g, q)
+    return certify.verify(g, q, rows.withColumn("proof", F.col("proof") + F.when(F.col("_mid1") % 2 == 0, 1).otherwise(0))).select("o", "s")
 
 
 @query(f"WITH {_EDGE} SELECT rel, src, dst FROM edge WHERE rel IN ('placedBy', 'suppliedBy')")
@@ -365,11 +372,13 @@ def guardrail_cost(spark, sf):
     return analytics.guardrail_cost(constraints.quality_report(star_graph(spark, sf)))
 
 
-@query("SELECT 'busy' AS rule, 30000000000 + c_custkey AS id, 'required' AS part FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT 'busy' AS rule, 30000000000 + c_custkey AS id, 'required' AS part FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
+SELECT 'idle', 40000000000 + s_suppkey, 'required' FROM supplier UNION ALL SELECT 'free', 60000000000 + o_orderkey, 'forbidden' FROM orders""")
 def guardrail_rules(spark, sf):
     g = star_graph(spark, sf)
     turned = g.edges.where("rel = 'placedBy'").select("edge_id", F.lit("placed").alias("rel"), F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence")
-    return constraints.guardrail_findings(g.add(edges=turned), [{"name": "busy", "type": "Customer", "required": ["placed"], "forbidden": ["hasPart"], "paths": ["inNation/inRegion"]}])
+    rules = [{"name": "busy", "type": "Customer", "required": ["placed"], "forbidden": ["hasPart"], "paths": ["inNation/inRegion"]}, {"name": "idle", "type": "Supplier", "required": ["placed"]}, {"name": "free", "type": "Order", "forbidden": ["placedBy"]}]
+    return constraints.guardrail_findings(g.add(edges=turned), rules)
 
 
 @query("SELECT * FROM (VALUES ('some_orders', 3::bigint, true, 1.0::double, 0.0::double), ('no_such', 0::bigint, false, 2.0::double, 2.0::double)) t(name, rows, satisfied, weight, cost)")
@@ -378,12 +387,12 @@ def competency_coverage(spark, sf):
     return analytics.competency_coverage(s, [{"name": "some_orders", "query": "select ?x where ?x : Order", "min_rows": 3}, {"name": "no_such", "query": 'select ?x where ?x : Order, ?x.status = "none"', "weight": 2.0}])
 
 
-@query("SELECT 'w' || r_regionkey AS world FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 20)")
+@query("SELECT 'w' || r_regionkey AS world FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3)")
 def modal_box(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet")
     worlds = spark.read.parquet(f"{sf}/region.parquet").selectExpr("concat('w', r_regionkey) as world")
     access = n.selectExpr("'of' as rel", "concat('w', n_regionkey) as w1", "concat('n', n_nationkey) as w2")
-    return modal.box(worlds, access, "of", n.where("n_nationkey >= 20").selectExpr("concat('n', n_nationkey) as world"))
+    return modal.box(worlds, access, "of", n.where("n_nationkey >= 3").selectExpr("concat('n', n_nationkey) as world"))
 
 
 @query("SELECT DISTINCT 'w' || n_regionkey AS world FROM nation WHERE n_nationkey < 3")

@@ -365,7 +365,20 @@ def test_planning(spark, ring):
     assert got(planning.learning_graph(ring, {"s": ("N", "N")})) == [("s", 2, 3)]
 
 
-def test_entry_imports_without_llm():
+def test_entry_imports_without_llm(tmp_path):
+    """A copy of the repository without the llm folders and the pipeline registers all other queries."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
     import __spark_entry__ as entry
 
-    assert len(entry.queries()) > 60 and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) == sum(not (k[:2] == "op" and k[2:3].isdigit()) and k != "pipeline" for k in entry.queries())
