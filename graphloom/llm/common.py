@@ -19,9 +19,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where a local session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)
@@ -47,6 +49,23 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, count: str = "n", ma
     return left.unionByName(rows.join(F.broadcast(hot), key))
 
 
+#: Bits of a map of values: with its words as rows it is sent to all tasks, a few megabytes whatever the number of values.
+MAP_BITS = 23
+
+
+def may_be_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """df with __maybe: false where the long in `key` is surely not among those of values (one column); true for all that are.
+
+    Few of the others are true as long as the values are fewer than the map's bits.
+    """
+    slot = F.pmod(F.col(values.columns[0]), F.lit(1 << MAP_BITS).cast("long")).alias("slot")
+    words = materialize(values.select(slot).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("__bits")), "map")
+    slots = df.withColumn("__slot", F.pmod(F.col(key), F.lit(1 << MAP_BITS).cast("long"))).withColumn("__word", F.shiftright("__slot", 6))
+    told = slots.join(F.broadcast(words), "__word", "left")
+    bit = F.expr("shiftright(__bits, cast(__slot % 64 as int)) & 1")
+    return told.select(*df.columns, F.coalesce(bit == 1, F.lit(False)).alias("__maybe"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

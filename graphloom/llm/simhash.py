@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import joined, materialize, ranges, split_words, spread_join, starts, text_slices, xxh64_spans
+from graphloom.llm.common import joined, materialize, may_be_in, ranges, split_words, spread_join, starts, text_slices, xxh64_spans
 from graphloom.llm.components import components, members
 
 BLOCKS, BLOCK_BITS, TILE, BUCKET = 4, 16, 256, 8192
@@ -239,13 +239,15 @@ def text_hash(text: str = "text"):
 def first_only(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, text hash) is not the `least` of placed (doc_id, h, least), and one each of the rest.
 
-    What goes is looked for, not what stays: it is the lesser part, which may be small
-    enough to be sent to all tasks, so that texts stay where they are. Rows without a doc_id stay.
+    What goes is looked for, not what stays: it is the lesser part. Rows that a map of fixed
+    size shows to stay are not moved; only the others meet the keys. Rows without a doc_id stay.
     """
     stays = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
     counted = placed.groupBy("doc_id", "h").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
     marked = materialize(counted.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "stays"), "marked")
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__h": text_hash()})
-    once = keyed.join(marked, ["__id", "__h"], "left_anti")
-    repeated = keyed.join(marked.where("stays").drop("stays"), ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
-    return once.unionByName(repeated).select(*docs.columns)
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__h": text_hash(), "__key": F.xxhash64("doc_id", text_hash())})
+    keyed = may_be_in(keyed, "__key", marked.select(F.xxhash64("__id", "__h")))
+    some = keyed.where("__maybe")
+    once = some.join(marked, ["__id", "__h"], "left_anti")
+    repeated = some.join(marked.where("stays").drop("stays"), ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return keyed.where("not __maybe").select(*docs.columns).unionByName(once.unionByName(repeated).select(*docs.columns))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphloom.llm import components, decontaminate, fixity, interpolation, packing, quality, queries, repeats, secrets, simhash, suffix_groups, urlmodel, winnow
 from graphloom.llm.common import split_words, xxh64_spans
+from tests.llm.test_near import brute_components
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -233,7 +234,7 @@ def brute_spans(text):
 def test_base_spans(texts):
     tricky = ["token=token:abcdefgh12 Token = 'SECRET-12345678'", "AKIAAKIAABCDEFGHIJ AKIA AKIA123", "ſecret=abcdefgh12 toKen=abcdefgh12", "é api_key:\t=x apikey: \"ABCDEFG.H=\"", "f" * 31 + " " + "f" * 32 + "g" + "0" * 40]
     for t in [*texts.values(), *tricky]:
-        assert [(s, k, e) for s, k, e, _ in secrets.base_spans(t)] == brute_spans(t)
+        assert [x[:3] for x in secrets.base_spans(t)] == brute_spans(t)
 
 
 def test_secrets(spark, documents, texts, odd):
@@ -249,12 +250,28 @@ def test_secrets(spark, documents, texts, odd):
 
 def test_ownership_parts_examples_from_live_ones(spark):
     rows = [(i, f"password = example-{'1' * 10}", f"s{i}", "en") for i in range(4)] + [(10, "token: live9secretvalue77", "s1", "en"), (11, "seen live9secretvalue77 bare", "s1", "en"), (12, "other9secretvalue88 bare", "s1", "en")]
+    # Short, dotted and plain values are found bare too, at the end of a sentence as well.
+    rows += [(20, "secret=a.b-c.12.", "s5", "en"), (21, "It was a.b-c.12. And hunterhunter", "s5", "fr"), (22, "passwd: hunterhunter", "s6", "en")]
+    # Two owners: live in two repositories, an example in four.
+    rows += [(30 + i, "token=twoowners1", f"t{i % 2}", "en") for i in range(4)] + [(40 + i, "token=fourrepos2", f"t{i % 2}", "en" if i < 2 else "de") for i in range(4)]
+    rows += [(50, None, None, None), (None, "", "s1", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     got = {r.doc_id: r for r in secrets.secret_spans(d).collect()}
     assert (got[0].n_live, got[0].n_example) == (0, 1) and (got[10].n_live, got[10].n_example) == (1, 0)
-    assert got[11].spans == "known:5:23" and got[12].spans == ""
+    assert got[11].spans == "known:5:23" and got[12].spans == "" and got[21].spans == "known:7:15,known:21:33"
+    assert got[30].n_live == 1 and got[40].n_example == 1
     clean = {r.doc_id: r.text for r in secrets.redact_live(d).collect()}
+    assert len(clean) == len(rows) and clean[50] is None and clean[None] == ""
     assert clean[10] == "token: [secret]" and clean[11] == "seen [secret] bare" and clean[0] == rows[0][1] and clean[12] == rows[6][1]
+    assert clean[20] == "secret=[secret]" and clean[21] == "It was [secret]. And [secret]" and clean[40] == "token=fourrepos2"
+    assert secrets.redact_live(d.limit(0)).count() == 0
+
+
+def test_redaction_odd(odd):
+    got = secrets.redact_live(odd)
+    assert got.count() == 12 and got.columns == odd.columns
+    assert sorted(r.text or "" for r in got.collect() if r.doc_id not in (9, 10)) == sorted(r.text or "" for r in odd.collect() if r.doc_id not in (9, 10))
+    assert got.where("doc_id = 10").first().text == "password = '[secret]'"
 
 
 # 5 ---------------------------------------------------------------------------------
@@ -465,6 +482,17 @@ def test_linked_matches_brute_force():
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_tiles_keep_groups_apart():
+    """Many groups share a tile: only pairs within one are compared, and all of those."""
+    g = np.random.default_rng(6)
+    group = np.sort(g.integers(0, 90, 900))
+    f = g.integers(0, 2**63, 900, dtype=np.int64).view(np.uint64) & np.uint64(0xFFF)
+    order = np.lexsort((np.bitwise_count(f), group))
+    f = f[order]
+    got = {(int(a), int(b)) for x, y in simhash.close_pairs(f, group, 2) for a, b in zip(x, y)}
+    assert got == {(i, j) for i, j in itertools.combinations(range(900), 2) if group[i] == group[j] and int(f[i] ^ f[j]).bit_count() <= 2}
+
+
 def test_one_of_each_group_stays(documents, odd):
     groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(documents).collect()}
     kept = simhash.keep_first(documents)
@@ -473,6 +501,17 @@ def test_one_of_each_group_stays(documents, odd):
     assert len(ids) == len(set(ids)) and None in ids and 4 in ids and 5 not in ids
 
 
+def test_rows_are_kept_not_ids(spark):
+    """A text that shares its doc_id with a copy of another is not lost for it."""
+    from graphloom.llm import near
+
+    rows = [(2, "a b c d e f g"), (4, "a b c d e f g"), (4, "z other text of its own here"), (4, "z other text of its own here"), (None, "a b c d e f g")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.keep_first, near.keep_first_of_near):
+        assert sorted(map(tuple, keep(d).collect()), key=str) == [rows[0], rows[2], rows[4]]
+        assert keep(d.limit(0)).count() == 0
+
+
 # 8 ---------------------------------------------------------------------------------
 def brute_winnow(text, k=winnow.K, w=winnow.WINDOW):
     """Positions that some window keeps, given any hash of runs of words."""
@@ -516,6 +555,35 @@ def test_rightmost_of_equal_hashes(spark):
     assert at[0] in (6, 7) and all(b - a == 2 for a, b in zip(at, at[1:]))
 
 
+def test_prints_are_those_of_a_hash_by_hand(spark):
+    """Every gram's hash from its words' hashes, and every window's least, for several sizes."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abc") for _ in range(n)) for n in (0, 1, 2, 3, 6, 7, 8, 9, 13, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    word = {x.w: x.h for x in spark.createDataFrame([(c,) for c in "abc"], "w string").selectExpr("w", f"pmod(xxhash64(w), {winnow.PRIME}) AS h").collect()}
+    for k, w in ((5, 8), (1, 1), (3, 5), (6, 3)):
+        for row in winnow.with_prints(df, "t", "p", k, w).collect():
+            words = row.t.split()
+            grams = [words[i : i + k] for i in range(len(words) - k + 1)] or ([words] if words else [])
+            h = [sum(word[x] * pow(winnow.BASE, len(g) - 1 - j, winnow.PRIME) for j, x in enumerate(g)) % winnow.PRIME for g in grams]
+            keep = []
+            for i in range(max(len(h) - w + 1, min(len(h), 1))):
+                at = max(range(i, min(i + w, len(h))), key=lambda j: (-h[j], j))
+                if at not in keep:
+                    keep.append(at)
+            assert [(x >> 31, winnow._LAST - (x & winnow._LAST)) for x in row.p] == [(h[j], j) for j in keep]
+
+
+def test_passages_without_spaces_are_found(spark):
+    """Twelve Han characters that two texts share, with other characters around them, are in both fingerprints."""
+    r = random.Random(8)
+    word = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = word(winnow.K + winnow.WINDOW - 1)
+    d = spark.createDataFrame([(i, word(30) + shared + word(r.randrange(25)) + " abc") for i in range(5)], "doc_id long, text string")
+    sets = [{x.split("@")[0] for x in p.fingerprint.split(",")} for p in winnow.winnow_documents(d).collect()]
+    assert all(a & b for a, b in itertools.combinations(sets, 2))
+
+
 def test_shared_passages_are_found(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
@@ -537,12 +605,49 @@ def test_quality(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.93
 
 
+def test_risk_and_gradient_against_direct_computation():
+    """The risk from its definition, one document after another, and its slopes by small steps, on both sides of zero."""
+    g = np.random.default_rng(4)
+    p, u = g.normal(0.5, 1, (30, 5)), g.normal(0, 1, (50, 5))
+    sides = set()
+    for prior, move in ((0.3, 0.0), (0.9, 0.0), (0.9, 1.5)):
+        m = quality.PositiveUnlabelled(prior, hidden=4, seed=3).fit(p + move, u, epochs=3, batch=16)
+        own = lambda x: sum(math.tanh(sum(x[i] * m.w1[i, j] for i in range(5)) + m.b1[j]) * m.w2[j] for j in range(4)) + sum(x[i] * m.w3[i] for i in range(5)) + m.b2
+        sig = lambda z: 1 / (1 + math.exp(-z))
+        plus = prior * sum(sig(-own(x)) for x in p) / len(p)
+        minus = sum(sig(own(x)) for x in u) / len(u) - prior * sum(sig(own(x)) for x in p) / len(p)
+        assert m.risk(p, u) == pytest.approx((plus, minus), abs=1e-9)
+        sides.add(minus >= 0)
+        grad = m.gradient(p, u)
+        for name in ("w1", "b1", "w2", "w3"):
+            v = getattr(m, name)
+            for at in itertools.islice(np.ndindex(v.shape), 6):
+                values = []
+                for step in (1e-5, -1e-5):
+                    v[at] += step
+                    a, b = m.risk(p, u)
+                    values.append(a + b if minus >= 0 else -b)
+                    v[at] -= step
+                assert grad[name][at] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-6)
+    assert sides == {True, False}
+
+
+def test_threshold_from_the_histogram():
+    m = quality.PositiveUnlabelled(0.3)
+    m.calibrate({**{k: 70 for k in range(-500, -400)}, **{k: 30 for k in range(400, 500)}, -100: 1})
+    assert m.score(np.array([-1.7]))[0] < 0.7 < m.score(np.array([1.5]))[0]
+    assert quality.PositiveUnlabelled(0.5).calibrate({}).shift == 0.0
+
+
 def test_quality_odd(odd, labels):
     got = quality.quality_scores(odd, labels).collect()
     assert len(got) == 12 and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert {r.score for r in quality.quality_scores(odd, labels.where("quality = 0")).collect()} == {0.5}
     assert quality.quality_scores(odd.limit(0), labels).count() == 0
     assert quality.drop_rejected(odd, labels.limit(0)).count() == 12 and quality.drop_rejected(odd, labels).columns == odd.columns
+    assert quality.drop_rejected(odd.limit(0), labels).count() == 0
+    scores = {r.doc_id: r.predicted for r in quality.quality_scores(odd, labels).collect()}
+    assert sorted(str(r.doc_id) for r in quality.drop_rejected(odd, labels).collect()) == sorted(str(r.doc_id) for r in odd.collect() if scores[r.doc_id])
 
 
 def test_held_out_labels_are_not_learnt_from(documents, spark):
@@ -568,50 +673,97 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def brute_near(texts, items, n=10, slop=15):
+    """For each text, how many items have a window whose rarest word stands somewhere with all others near."""
+    words = [CONTENT.findall(low(t)) for t in texts]
+    often = collections.Counter(w for x in words for w in x)
+    wins = collections.defaultdict(set)
+    for i, x in items:
+        iw = CONTENT.findall(low(x))
+        for win in [tuple(iw[k : k + n]) for k in range(len(iw) - n + 1)] or ([tuple(iw)] if iw else []):
+            wins[win].add(str(i))
+    out = []
+    for x in words:
+        at = collections.defaultdict(list)
+        for p, w in enumerate(x):
+            at[w].append(p)
+        found = set()
+        for win, ids in wins.items():
+            if all(w in at for w in win):
+                rare = min(win, key=lambda w: (often[w], w.encode()))
+                if any(all(any(abs(q - p) <= slop for q in at[w]) for w in win) for p in at[rare]):
+                    found |= ids
+        out.append(len(found))
+    return out
+
+
 @pytest.mark.parametrize("block", [10**9, 100])
 def test_decontamination(spark, documents, texts, odd, benchmark, block):
     own = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contaminated_words(documents, own, block_words=block).collect()}
     items = [(r.item_id, r.text) for r in own.collect()]
-    assert all(got[i] == brute_hits(t, items) for i, t in texts.items())
+    near = brute_near(texts.values(), items)
+    assert all(got[i] == (*brute_hits(t, items), k) for (i, t), k in zip(texts.items(), near))
     assert any(v[4] for v in got.values())
+    turned = spark.createDataFrame([(1, "b z a"), (2, "b " + "z " * 15 + "a")], "doc_id long, text string")
+    assert sorted(tuple(r)[2:4] + tuple(r)[6:] for r in decontaminate.contaminated_words(turned, benchmark.where("item_id = 2"), block_words=block).collect()) == [(0, 0, 0), (0, 0, 1)]
     few = [(r.item_id, r.text) for r in benchmark.collect()]
     rows = decontaminate.contaminated_words(odd, benchmark, block_words=3).collect()
-    assert sorted(tuple(r)[1:] for r in rows) == sorted(brute_hits(r.text, few) for r in odd.collect())
-    assert decontaminate.contaminated_words(odd, benchmark.limit(0)).where("n_hit > 0").count() == 0
+    every = [r.text for r in odd.collect()]
+    assert sorted(tuple(r)[1:] for r in rows) == sorted((*brute_hits(t, few), k) for t, k in zip(every, brute_near(every, few)))
+    assert decontaminate.contaminated_words(odd, benchmark.limit(0)).where("n_hit > 0 or n_near_items > 0").count() == 0
     assert decontaminate.contaminated_words(odd.limit(0), benchmark).count() == 0
     clean = decontaminate.drop_contaminated(documents, own)
     assert {r.doc_id for r in clean.collect()} == {i for i, v in got.items() if not v[4]} and clean.columns == documents.columns
+    left = decontaminate.drop_contaminated(odd, benchmark)
+    assert sorted(r.text or "" for r in left.collect()) == sorted(t or "" for t in every if not brute_hits(t, few)[4]) and left.columns == odd.columns
+    assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == 12 and decontaminate.drop_contaminated(odd.limit(0), benchmark).count() == 0
 
 
 def test_stored_index(spark):
-    d = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "the mat, the cat. Sat"), (3, None)], "doc_id long, text string")
-    ix = decontaminate.build_index(d)
-    assert {(r.term, r.doc_id): r.positions for r in ix.collect()}["the", 1] == [0, 4]
-    found = lambda *a, **k: sorted({(r.doc_id, r.start) for r in decontaminate.phrase_matches(ix, *a, **k).collect()})
-    assert found(["the", "cat", "sat"]) == [(1, 0), (2, 2)] and found(["cat", "mat"]) == []
-    assert {i for i, _ in found(["cat", "mat"], slop=2)} == {2}
-
-
-def brute_masked(rows):
-    """Texts with values masked that fewer than three sources hold and that some pattern names."""
-    found = {r.doc_id: sorted((b := secrets.base_spans(r.text or "")) + secrets.bare_spans(r.text or "", b)) for r in rows}
-    owners, named = collections.defaultdict(set), set()
+    rows = [(1, "the cat sat on the mat"), (2, "the mat, the cat. Sat"), (3, None), (4, "cat " * 5)]
+    ix = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()[0]
+    s = decontaminate.Shard.unpacked(pa.array(ix.terms, pa.binary()), ix.sizes, ix.postings, ix["counts"])
+    assert ix.ids == [1, 2, 3, 4] and s.counts.tolist() == [6, 5, 0, 5] and ix.terms == sorted(ix.terms)
+    assert s.postings[s.first[4] : s.first[4] + s.sizes[4]].tolist() == [0, 4, 6, 8] and ix.terms[4] == b"the"
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = lambda *a, **k: sorted({(r.doc_id, r.start) for r in decontaminate.phrase_matches(index, *a, **k).collect()})
+    assert found(["the", "cat", "sat"]) == [(1, 0), (2, 2)] and found(["cat", "mat"]) == [] and found(["cat", "cat"]) == [(4, k) for k in range(4)]
+    assert {i for i, _ in found(["cat", "mat"], slop=2)} == {2} and found(["dog"]) == []
+
+
+def brute_masked(rows, mask="[secret]"):
+    """Texts with each value masked that few owners hold and that some pattern names, wherever it stands as a word."""
+    named, owners, places = set(), collections.defaultdict(set), {}
+    for r in rows:
+        text = r.text or ""
+        own = [(m.start(2 if k == 0 else 0), m[2 if k == 0 else 0].rstrip("." if k == 0 else ""), m.start(), m.end()) for k, (_, rx, ok) in enumerate(RULES) for m in rx.finditer(text) if ok(m)]
+        named |= {v for _, v, _, _ in own}
+        places[id(r)] = own
     for r in rows:
-        for _, k, _, v in found[r.doc_id]:
-            owners[v].add(r.source)
-            named |= {v} if k < 3 else set()
+        taken = [(a, b) for _, _, a, b in places[id(r)]]
+        bare = [(m.start(), m[0].rstrip(".")) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", r.text or "") if m[0].rstrip(".") in named and not any(a < m.end() and b > m.start() for a, b in taken)]
+        places[id(r)] = sorted([(a, v) for a, v, _, _ in places[id(r)]] + bare)
+        for _, v in places[id(r)]:
+            owners[v].add((r.source, r.lang))
     out = {}
     for r in rows:
         text, at = "", 0
-        for _, _, e, v in found[r.doc_id]:
-            if v in named and len(owners[v]) < 3 and e > max(at, e - len(v)):
-                text += r.text[at : max(at, e - len(v))] + "[secret]"
-                at = e
+        for a, v in places[id(r)]:
+            who = len({s for s, _ in owners[v]})
+            end = a + len(v) + (len(r.text) > a + len(v) and len(re.match(r"\.*", r.text[a + len(v) :])[0]) if (a, v) and any(x == a for x in assigned(r.text)) else 0)
+            if who < 3 and not (who == 2 and len(owners[v]) >= 4) and end > max(at, a):
+                text += r.text[at : max(at, a)] + mask
+                at = end
         out[r.doc_id] = text + r.text[at:] if r.text is not None else None
     return out
 
 
+def assigned(text):
+    """Where the values of the first pattern begin; the dots after them are masked with them."""
+    return {m.start(2) for m in RULES[0][1].finditer(text) if len(m[2]) >= 8}
+
+
 def test_redaction(spark):
     documents = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     rows = documents.collect()
@@ -633,8 +785,7 @@ def test_pipeline(spark, documents):
     good, unique, clean, masked, packed = kept
     scores = {r.doc_id: r.predicted for r in queries.op9_pu_quality(spark, SF).collect()}
     assert {r.doc_id for r in good} == {i for i, p in scores.items() if p}
-    comp = brute_groups([brute_fingerprint(r.text) for r in sorted(good)], [r.doc_id for r in sorted(good)])
-    assert {r.doc_id for r in unique} == set(comp)
+    assert {r.doc_id for r in unique} == set(brute_components([(r.doc_id, r.text) for r in good]).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert {r.doc_id for r in clean} == {r.doc_id for r in unique if not brute_hits(r.text, items)[4]}
     assert len(masked) == len(clean) and all(r.n_chars == len(r.text) for r in masked)
@@ -646,6 +797,26 @@ def test_pipeline(spark, documents):
     assert key(whole) == key(packed)
 
 
+def test_stages_on_an_empty_table(spark, documents):
+    """No document: each stage gives none, with its columns; the last one's are those of pieces."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents.limit(0), SF)
+        assert out.count() == 0
+        assert "sequence_id" in out.columns if name == corpus_pipeline.STAGES[-1][0] else out.columns == documents.columns
+
+
+def test_packing_under_every_capacity(spark, documents):
+    """Through pack itself: no sequence holds more documents or attention cost than it may."""
+    for score in ("norm", "dot"):
+        rows = packing.pack(documents, queries.vocabulary_path(), 256, max_documents=3, max_attention=70_000, score=score).collect()
+        check_packing(rows, 256)
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r.sequence_id].append(r.length)
+        assert all(len(v) <= 3 and sum(n * n for n in v) <= 70_000 for v in by.values())
+        assert any(len(v) == 3 for v in by.values())
+
+
 def test_stages_keep_other_columns(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns

@@ -48,3 +48,21 @@ def test_groups_whose_ends_are_not_alike(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near.near_groups(df).collect()} == brute_components(rows)
     assert near.near_groups(df.limit(0)).count() == 0
+
+
+def test_keys_that_no_end_connects(spark, monkeypatch):
+    """Alike pairs that share a key only with unlike ends, in tiles of one part and of several, short sets and long."""
+    monkeypatch.setattr(near, "HOT_TEXTS", 3)
+    monkeypatch.setattr(near.dealt, "__defaults__", (4, False))
+    rows, k = [], 0
+    for n in (12, 70):
+        common = [f"c{n}-{i}" for i in range(n)]
+        for g in range(6):
+            own = [f"g{n}-{g}-{i}" for i in range(n)]
+            for copy in range(3):
+                rows.append((k, " ".join(common + own + ([f"e{k}"] if copy else []))))
+                k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert len(set(want.values())) == 12
+    assert {r.doc_id: r.component_id for r in near.near_groups(df).collect()} == want
