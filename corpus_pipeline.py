@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import materialize, table
 from graphloom.llm.decontaminate import drop_contaminated
-from graphloom.llm.near import near_groups
+from graphloom.llm.near import keep_first_of_near
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import drop_rejected
 from graphloom.llm.queries import vocabulary_path
 from graphloom.llm.secrets import redact_live
-from graphloom.llm.simhash import first_of
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard's index 0.8 or more."""
-    return first_of(docs, near_groups(docs))
+    return keep_first_of_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("secret scans", secrets),
     ("best-fit packing", packing),
