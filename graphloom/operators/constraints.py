@@ -33,19 +33,18 @@ def symmetric_closure(facts: DataFrame, a: str, b: str, where: tuple[str, tuple[
     return facts.union(turned).distinct()
 
 
-def transitive_closure(facts: DataFrame, a: str, b: str, params: list[str] = (), rounds: int = 64) -> DataFrame:
-    """Closure of pairs within each value of the parameters, semi-naively."""
+def transitive_closure(facts: DataFrame, a: str, b: str, params: list[str] = ()) -> DataFrame:
+    """Closure of pairs within each value of the parameters, semi-naively, until nothing is new."""
     names = [a, b, *params]
     base = cut(facts.select(*names).distinct())
     step = base.withColumnRenamed(a, "__mid").withColumnRenamed(b, "__to")
     seen = frontier = base
-    for _ in range(rounds):
+    while True:
         grown = frontier.withColumnRenamed(b, "__mid").join(step, ["__mid", *params]).select(a, F.col("__to").alias(b), *params).distinct()
         frontier = cut(grown.join(seen, names, "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier))
-    raise RuntimeError("the closure did not end")
 
 
 def closure_compatible(closed: DataFrame, constraints: list[Constraint], allowed: set[str]) -> DataFrame:
