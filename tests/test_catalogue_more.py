@@ -9,7 +9,7 @@ from graphloom import catalogue_more
 from graphloom.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n, f in QUERIES.items() if getattr(f, "__module__", "") == catalogue_more.__name__)
+NAMES = sorted(n for n, f in QUERIES.items() if n in ORACLE_SQL and getattr(f, "__module__", "") == catalogue_more.__name__)
 
 
 @pytest.fixture(scope="module")
