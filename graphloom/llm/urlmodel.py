@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, spread_join
 
 #: (host, path prefix, verdict): a rule fits its host and all subdomains.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -96,6 +96,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, calibration_fold: int = 4, folds
     parsed = parsed.select("page_id", "host", "path", F.col("__fit.rule").alias("rule"), F.col("__fit.verdict").alias("ruled"), symbols("url").alias("__text"), (F.crc32(F.coalesce("url", F.lit(""))) % folds == calibration_fold).alias("__calibrate"))
     # Equal texts score alike, so each distinct one is worked on once.
     texts = parsed.groupBy("__text").agg(
+        F.count("*").alias("n"),
         F.sum(F.when((F.col("ruled") == "allow") & ~F.col("__calibrate"), 1).otherwise(0)).alias("good"),
         F.sum(F.when((F.col("ruled") == "block") & ~F.col("__calibrate"), 1).otherwise(0)).alias("bad"),
         F.sum(F.when((F.col("ruled") == "allow") & F.col("__calibrate"), 1).otherwise(0)).alias("held_good"),
@@ -118,5 +119,5 @@ def url_verdicts(pages: DataFrame, rules=RULES, calibration_fold: int = 4, folds
             if balanced > best + 1e-12:
                 best, threshold = balanced, b / 100
             below_good, below_bad = below_good + g, below_bad + x
-    out = parsed.join(scored.select("__text", "score"), "__text")
+    out = spread_join(parsed, scored.select("__text", "score", "n"), "__text")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
