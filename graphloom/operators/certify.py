@@ -13,6 +13,7 @@ from graphloom.functions.prob import ONE, fixed
 from graphloom.plans.ast import Const, EdgeAtom, FactAtom, Label, Query, QueryError, TextAtom, Var, chain_of, vars_of
 from graphloom.plans.compile import Options, compile_query
 from graphloom.plans.elaborate import expand
+from graphloom.plans.fixpoint import dealt
 from graphloom.snapshot import Graph
 
 
@@ -47,15 +48,11 @@ def certify(graph: Graph, q: Query) -> DataFrame:
         raise QueryError("one branch and one context at most can be certified")
     atoms = _spelled(q.disjuncts[0])
     names = tuple(vars_of(atoms))
-    df = compile_query(graph, q.with_(select=names, disjuncts=(atoms,)), Options(limit=None))
-    best = graph.best_edges(q.min_conf).select("edge_id", "rel", "src", "dst", fixed(F.col("confidence")).alias("p"))
+    df = compile_query(graph, q.with_(select=names, disjuncts=(atoms,)), Options(limit=None, carry=True))
     ids, proof = [], F.lit(ONE).cast("bigint")
-    for i, a in enumerate(x for x in atoms if isinstance(x, EdgeAtom)):
-        e = best.where(F.col("rel") == a.path.name).select(F.col("edge_id").alias(f"__e{i}"), F.col("src").alias(f"__s{i}"), F.col("dst").alias(f"__d{i}"), F.col("p").alias(f"__p{i}"))
-        end = lambda t: F.lit(t.id) if isinstance(t, Const) else F.col(t.name)
-        df = df.join(e, (end(a.left) == F.col(f"__s{i}")) & (end(a.right) == F.col(f"__d{i}")))
+    for i in range(sum(isinstance(a, EdgeAtom) for a in atoms)):
         ids.append(F.col(f"__e{i}"))
-        proof = F.floor(proof * F.col(f"__p{i}") / ONE).cast("bigint")
+        proof = F.floor(proof * fixed(F.col(f"__p{i}")) / ONE).cast("bigint")
     return df.select(*names, (F.array(*ids) if ids else F.array().cast("array<bigint>")).alias("witness"), proof.alias("proof"))
 
 
@@ -66,21 +63,17 @@ def verify(graph: Graph, q: Query, rows: DataFrame) -> DataFrame:
     row's entities, reach the threshold, and the proof must be their product.
     """
     atoms = [a for a in _spelled(q.disjuncts[0]) if isinstance(a, EdgeAtom)]
-    edges = graph.edges.select("edge_id", F.struct("rel", "src", "dst", "confidence").alias("__x"))
-    own = rows.withColumn("__row", F.xxhash64(*(c for c in rows.columns)))
-    flat = own.select("*", F.posexplode("witness").alias("__i", "edge_id")).join(edges, "edge_id", "left")
     end = lambda t: F.lit(t.id) if isinstance(t, Const) else F.col(t.name)
-    ok = F.lit(False)
+    own, ok, product = rows, F.size("witness") == len(atoms), F.lit(ONE).cast("bigint")
     for i, a in enumerate(atoms):
-        good = (F.col("__x.rel") == a.path.name) & (F.col("__x.src") == end(a.left)) & (F.col("__x.dst") == end(a.right))
+        e = graph.edges_of([a.path.name])
         if q.min_conf is not None:
-            good = good & (F.col("__x.confidence") >= F.lit(q.min_conf).cast("float"))
-        ok = F.when(F.col("__i") == i, good).otherwise(ok)
-    steps = flat.groupBy("__row").agg(F.min(F.coalesce(ok, F.lit(False)).cast("int")).alias("ok"), F.array_sort(F.collect_set(F.struct("__i", fixed(F.col("__x.confidence")).alias("p")))).alias("ps"))
-    product = F.aggregate("ps", F.lit(ONE).cast("bigint"), lambda acc, x: F.floor(acc * x["p"] / ONE).cast("bigint"))
-    j = own.join(steps.select("__row", "ok", product.alias("__product")), "__row", "left")
-    whole = (F.size("witness") == len(atoms)) & ((F.col("ok") == 1) | (len(atoms) == 0)) & (F.coalesce("__product", F.lit(ONE)) == F.col("proof"))
-    return j.where(~F.coalesce(whole, F.lit(False))).select(*rows.columns)
+            e = e.where(F.col("confidence") >= F.lit(q.min_conf).cast("float"))
+        e = e.select(F.col("edge_id").alias("__w"), F.col("src").alias("__s"), F.col("dst").alias("__d"), fixed(F.col("confidence")).alias("__p"))
+        e = dealt(e, "__w", "__s", "__d").groupBy("__w", "__s", "__d").agg(F.max("__p").alias(f"__p{i}"))
+        own = own.join(e, (F.get("witness", F.lit(i)) == F.col("__w")) & (end(a.left) == F.col("__s")) & (end(a.right) == F.col("__d")), "left").drop("__w", "__s", "__d")
+        product = F.floor(product * F.col(f"__p{i}") / ONE).cast("bigint")  # null where there is no such edge
+    return own.where(~F.coalesce(ok & (product == F.col("proof")), F.lit(False))).select(*rows.columns)
 
 
 def facts_used(q: Query) -> list[str]:
